@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import documents
+from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
 from tidemark.llm.sharding import shard_by_bytes
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), shards=8)
 
@@ -20,7 +25,7 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_shards, op9_pfair_mixing)}
+    return {f.__name__: f for f in (op1_minhash_forest, op5_byte_shards, op9_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
