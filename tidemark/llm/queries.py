@@ -9,23 +9,63 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import documents
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
+from tidemark.llm.robust_outliers import quality
 from tidemark.llm.sharding import shard_by_bytes
+from tidemark.llm.url_model import judge_urls
+from tidemark.llm.vector_packing import pack_documents
+
+#: Host and path rules of the URL query.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), shards=8)
 
 
+def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=2048
+    )
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_forest, op5_byte_shards, op9_pfair_mixing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_minhash_forest,
+            op2_robust_outliers,
+            op5_byte_shards,
+            op6_url_model,
+            op8_vector_packing,
+            op9_pfair_mixing,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
