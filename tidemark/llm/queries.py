@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.collision_projections import near_vectors
 from tidemark.llm.common import documents
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
@@ -34,6 +35,10 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_collision_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(documents(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), shards=8)
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_minhash_forest,
             op2_robust_outliers,
+            op3_collision_projections,
             op5_byte_shards,
             op6_url_model,
             op8_vector_packing,
