@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.collision_projections import near_vectors
 from tidemark.llm.common import documents
+from tidemark.llm.line_templates import drop_lines
 from tidemark.llm.minhash_forest import near_duplicates
+from tidemark.llm.perspectives import rotate
 from tidemark.llm.pfair_mixing import mix_sources
 from tidemark.llm.robust_outliers import quality
 from tidemark.llm.sharding import shard_by_bytes
@@ -39,6 +42,17 @@ def op3_collision_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(documents(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines dropped, and size and CRC-32 of what is left."""
+    left = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return drop_lines(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("_tm_dropped").cast("long").alias("n_dropped"),
+        F.octet_length(left).cast("long").alias("n_bytes_left"),
+        F.crc32(left).alias("left_crc32"),
+    )
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), shards=8)
 
@@ -59,6 +73,63 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(documents(spark, sf_dir, "conversations")).select(
+        "conv_id",
+        "part",
+        "participant",
+        "rendered",
+        F.expr("array_join(transform(spans, s -> concat(s.start, '-', s.end)), ',')").alias("masked"),
+        F.col("n_turns").cast("long").alias("n_turns"),
+        F.col("n_masked_turns").cast("long").alias("n_masked_turns"),
+    )
+
+
+_PERSPECTIVES_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS LAST, text) - 1 AS place
+  FROM conversations
+), p AS (SELECT *, place // 128 AS part FROM t),
+s AS (SELECT DISTINCT conv_id, part, role AS participant FROM p),
+m AS (
+  SELECT p.conv_id, p.part, s.participant, p.place, p.role = s.participant AS own,
+         CASE WHEN p.role = s.participant THEN '<|assistant|>' || chr(10)
+              ELSE '<|user name=' || replace(p.role, '<|', '< |') || '|>' || chr(10) END AS head,
+         replace(p.text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.part = s.part
+), e AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, participant ORDER BY place) AS stop FROM m
+)
+SELECT conv_id, part::BIGINT AS part, participant, string_agg(head || body, '' ORDER BY place) AS rendered,
+       string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY place) AS masked,
+       count(*)::BIGINT AS n_turns, (count(*) FILTER (own))::BIGINT AS n_masked_turns
+FROM e GROUP BY conv_id, part, participant
+"""
+
+_SHARDS_SQL = """
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS c
+  FROM range(256) r(i)
+), hexes AS (
+  SELECT list(i ORDER BY h) AS v FROM (SELECT i, printf('%02X', i) AS h FROM range(256) r(i))
+), rows AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         xor(list_reduce(
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: strpos('0123456789ABCDEF', x[1]) * 16 + strpos('0123456789ABCDEF', x[2]) - 17),
+           lambda a, b: xor(a // 256, c[xor(a % 256, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM documents, crc
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER w, 0) AS before, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS place,
+         sum(size) OVER () AS total
+  FROM rows WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cutting AS (SELECT *, least(7, ((2 * before + size) * 8) // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM cutting
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -66,13 +137,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_minhash_forest,
             op2_robust_outliers,
             op3_collision_projections,
+            op4_line_templates,
             op5_byte_shards,
             op6_url_model,
             op8_vector_packing,
             op9_pfair_mixing,
+            op10_perspectives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_byte_shards": _SHARDS_SQL, "op10_perspectives": _PERSPECTIVES_SQL}
