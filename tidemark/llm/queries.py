@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.collision_projections import near_vectors
 from tidemark.llm.common import documents
 from tidemark.llm.line_templates import drop_lines
+from tidemark.llm.longest_previous import remove_repeats
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.perspectives import rotate
 from tidemark.llm.pfair_mixing import mix_sources
@@ -61,6 +62,10 @@ def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(documents(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_longest_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), length=100)
+
+
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -140,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_line_templates,
             op5_byte_shards,
             op6_url_model,
+            op7_longest_previous,
             op8_vector_packing,
             op9_pfair_mixing,
             op10_perspectives,
