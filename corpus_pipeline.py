@@ -1,18 +1,35 @@
-"""The corpus pipeline: each stage takes what its predecessor kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, source mixing, packing.
+
+Each stage takes what its predecessor kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tidemark.llm import stages
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", stages.quality_stage),
+    ("line_dedup", stages.lines_stage),
+    ("near_dedup", stages.near_stage),
+    ("source_mixing", stages.mixing_stage),
+    ("best_fit_packing", stages.packing_stage),
+]
 
+#: Robust estimates, signatures and tokenization have no SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the stages before it are written under the shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
