@@ -21,6 +21,9 @@ from tidemark.llm.common import cut, join_by_size, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.text import chunks, mix, shingle_sets
 
+#: Documents in a block of a large region; a tile holds two blocks.
+TILE = 512
+
 _SEED = 0x5851F42D4C957F2D
 
 
@@ -184,10 +187,7 @@ def near_duplicates(
         found.where("b IS NOT NULL").unionByName(border.where("b IS NOT NULL")).groupBy("a", "b").agg(F.min("near").alias("near"))
     )
     nodes = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    sets = cut(
-        join_by_size(texts.where("id IS NOT NULL"), cut(nodes), "id", "left_semi")
-        .mapInArrow(_sets(width), "id long, items array<long>")
-    )
+    sets = _sets_of(texts, nodes, width)
     first = candidates.where("near <= 2")
     links = _confirm(first, sets, percent)
     joined = components(links)
@@ -199,25 +199,23 @@ def near_duplicates(
     prefix = rows.select(F.xxhash64("tree", F.substring("key", 1, 4 * least_depth)).alias("region"), "size", "node")
     large = prefix.groupBy("region").count().where(F.col("count") > reach + 1).select("region")
     inside = prefix.join(large, "region").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = inside.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    inside = cut(inside.join(mixed.select("region"), "region").select("region", "label", "size", "node"))
-    other = inside.select("region", *[F.col(c).alias(f"{c}_2") for c in ("label", "size", "node")])
-    missed = (
-        inside.join(other, "region")
-        .where("label < label_2")
-        .where(f"100 * least(size, size_2) >= {percent} * greatest(size, size_2)")
-        .select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
-        .distinct()
-        .join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = cut(
+        inside.groupBy("region")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .where("lo < hi")
+        .select("region", F.ceil(F.col("n") / TILE).alias("blocks"))
     )
-    missed = cut(missed)
-    if missed.limit(1).count():
-        nodes = missed.select(F.col("a").alias("id")).union(missed.select("b")).distinct()
-        sets = cut(
-            join_by_size(texts.where("id IS NOT NULL"), cut(nodes), "id", "left_semi")
-            .mapInArrow(_sets(width), "id long, items array<long>")
+    if mixed.limit(1).count():
+        inside = cut(inside.join(mixed, "region").select("region", "blocks", "label", "node"))
+        sets = _sets_of(texts, inside.select(F.col("node").alias("id")).distinct(), width)
+        tiles = (
+            inside.join(sets, F.col("node") == F.col("id"))
+            .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+            .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "node", "items")
         )
-        joined = cut(components(links.unionByName(_confirm(missed, sets, percent))))
+        more = tiles.groupBy("region", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+        joined = cut(components(links.unionByName(more)))
     labelled = classes.join(joined, "node", "left").select(
         "d1", "d2", "size", F.coalesce("label", "node").alias("component_id")
     )
@@ -230,6 +228,50 @@ def near_duplicates(
     )
 
 
+def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The shingle sets of the documents with these ids."""
+    chosen = join_by_size(texts.where("id IS NOT NULL"), cut(nodes), "id", "left_semi")
+    return cut(chosen.mapInArrow(_sets(width), "id long, items array<long>"))
+
+
+def _tile(percent: int):
+    """One tile (two blocks) of a large region: links between different components, one for each pair of components.
+
+    Intersections are counted exactly, as products of the incidence of those shingles that two texts have.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        items = rows["items"].combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        values, at = items.flatten().to_numpy(), items.offsets.to_numpy()
+        at = at - at[0]
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        block, label, node = (rows[c].to_numpy() for c in ("block", "label", "node"))
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            a, b = np.searchsorted(column, (first, first + 2048))
+            dense = np.zeros((len(block), 2048), np.float32)
+            dense[owner[a:b], column[a:b] - first] = 1
+            common += dense[left] @ dense[right].T
+        size = np.diff(at).astype(np.float32)
+        linked = 100 * common >= percent * (size[left][:, None] + size[right] - common)
+        linked &= label[left][:, None] != label[right]
+        x, y = np.nonzero(linked)
+        x, y = left[x], right[y]
+        pairs = np.stack((np.minimum(label[x], label[y]), np.maximum(label[x], label[y])), 1)
+        _, one = np.unique(pairs, axis=0, return_index=True)
+        return pa.table({"a": node[x[one]], "b": node[y[one]]})
+
+    return run
+
+
 def _spread(signed: DataFrame, labelled: DataFrame) -> DataFrame:
     """Every document with its class's component; those without shingles or id stay alone."""
     alone = F.col("id").isNull() | (F.col("size") == 0)
