@@ -240,7 +240,7 @@ def quality(
     sizes = cut(levels.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"m{x[1:]}") for x in xs]).where(f"n >= {least_rows}"))
     parameters = " , ".join(["g string"] + [f"m{i} double" for i in range(p)] + [f"w{i}_{j} double" for i in range(p) for j in range(i + 1)])
     # Start: medians and median absolute deviations.
-    spread = levels.join(sizes, "g").groupBy("g").agg(
+    spread = join_by_size(levels, sizes, "g", "inner").groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(p)],
     )
@@ -257,12 +257,12 @@ def quality(
     middle, most = chi_square(0.5, p), chi_square(0.975, p)
     for step in range(steps + 1):
         last = step == steps
-        far = levels.join(fitted, "g").select("g", *xs, distance.alias("d2"))
+        far = join_by_size(levels, fitted, "g", "inner").select("g", *xs, distance.alias("d2"))
         bound = cut(far.groupBy("g").agg(F.percentile_approx("d2", F.array(F.lit(core), F.lit(0.5)), 10_000).alias("q")))
         # The last step takes all rows within the 97.5 % ellipsoid of the rescaled estimate.
         within = F.col("d2") <= (F.greatest(F.col("q")[1] / middle, F.lit(1e-12)) * most if last else F.col("q")[0])
         moments = (
-            far.join(bound, "g").where(within).groupBy("g")
+            join_by_size(far, bound, "g", "inner").where(within).groupBy("g")
             .agg(
                 F.count(F.lit(1)).alias("n"),
                 F.lit(1.0).alias("scale"),
@@ -271,12 +271,14 @@ def quality(
             )
         )
         fitted = cut(moments.mapInPandas(_whiten(p, floor, False), parameters))
+    known = fitted.select(F.col("g").alias("g_source"), F.lit(1).alias("_s"))
+    named = join_by_size(measured.where("NOT base_failed"), known, "g_source", "left")
+    known = fitted.select(F.col("g").alias("g_lang"), F.lit(1).alias("_l"))
+    named = join_by_size(named, known, "g_lang", "left").withColumn(
+        "g", F.when(F.col("_s").isNotNull(), F.col("g_source")).when(F.col("_l").isNotNull(), F.col("g_lang")).otherwise("*")
+    )
     chosen = (
-        measured.where("NOT base_failed")
-        .join(fitted.select(F.col("g").alias("g_source"), F.lit(1).alias("_s")), "g_source", "left")
-        .join(fitted.select(F.col("g").alias("g_lang"), F.lit(1).alias("_l")), "g_lang", "left")
-        .withColumn("g", F.when(F.col("_s").isNotNull(), F.col("g_source")).when(F.col("_l").isNotNull(), F.col("g_lang")).otherwise("*"))
-        .join(fitted, "g", "left")
+        join_by_size(named, fitted, "g", "left")
         .withColumn("distance", distance * F.col("n_words") / (F.col("n_words") + shrink_words))
     )
     names = ["doc_id", *COUNTS, "base_failed", "kept", "distance", "text_key"]
