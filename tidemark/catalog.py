@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("labels", "keys")
+AREAS = ("labels", "keys", "features")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
