@@ -39,7 +39,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         plain = name.replace("(", "_").replace(")", "").replace(".", "_")
         c = F.col(quoted(name))
-        out.append((((F.floor(c * 10000.0 + 0.5)) / 10000.0).cast("double") if kind == "double" else c).alias(plain))
+        out.append((((F.floor(c * 10000.0 + 0.5)) / 10000.0).cast("double") if kind == "double" and "epochtime" not in name else c).alias(plain))
     return df.select(*out)
 
 
