@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("labels", "keys", "features", "evaluation", "graphs")
+AREAS = ("labels", "keys", "features", "evaluation", "graphs", "pipelines")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
