@@ -66,29 +66,64 @@ def owners(buf: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
 
 
 def _runs(length: int, gram: int):
-    """(id, text) to one row a run: id, start in the text, count of starts, anchor hash, context hash."""
+    """(id, text) to one row a run: id, start, count of starts, anchor hash, context hash, done.
+
+    What repeats inside a batch is settled there: of runs with equal anchor and context only the earliest goes on, and
+    the others, whose starts are all matched, leave as merged intervals (``done``).  Periodic texts and common passages
+    so bring few rows of one anchor to the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy()
+            held: list[tuple[np.ndarray, ...]] = []
             for first, _, buf, bounds in chunks(batch.column(1)):
                 text, start, count, anchor = owners(buf, bounds, length, gram)
-                if not len(text):
-                    continue
                 context = mix(spans(prefix(buf), start, start + count - 1 + length) + count.astype(np.uint64))
-                yield pa.record_batch(
-                    [
-                        batch.column(0).take(pa.array(text + first)),
-                        pa.array((start - bounds[text]).astype(np.int64)),
-                        pa.array(count.astype(np.int32)),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(context.view(np.int64)),
-                    ],
-                    names=["id", "start", "count", "anchor", "context"],
-                )
+                held.append((ids[text + first], start - bounds[text], count, anchor.view(np.int64), context.view(np.int64)))
+            if not held or not sum(len(x[0]) for x in held):
+                continue
+            key, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((start, key, context, anchor))
+            key, start, count, anchor, context = (x[order] for x in (key, start, count, anchor, context))
+            new = np.ones(len(key), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            done = (key != key[head]) | (start != start[head])
+            k, lo, hi = _touching(key[done], start[done], start[done] + count[done] - 1 + length)
+            own = mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64)).view(np.int64)
+            n = int((~done).sum())
+            yield pa.record_batch(
+                [
+                    pa.array(np.concatenate((key[~done], k))),
+                    pa.array(np.concatenate((start[~done], lo))),
+                    pa.array(np.concatenate((count[~done], hi - lo - length + 1)).astype(np.int32)),
+                    pa.array(np.concatenate((anchor[~done], own))),
+                    pa.array(np.concatenate((context[~done], own))),
+                    pa.array(np.arange(n + len(k)) >= n),
+                ],
+                names=["id", "start", "count", "anchor", "context", "done"],
+            )
 
     return run
 
 
+def _touching(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each key, with those that touch or overlap made one."""
+    if not len(key):
+        return key, lo, hi
+    order = np.lexsort((lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
+    at = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    far = int(hi.max()) + 1  # keys are laid one after the other, so one running maximum serves all
+    reach = np.maximum.accumulate(hi + at * far)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] + at[1:] * far > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(key)])) - 1
+    return key[first], lo[first], reach[last] - at[last] * far
+
+
 def _contexts(length: int):
     """(id, text, runs) to one row a run with its bytes."""
 
@@ -227,13 +262,13 @@ def repeated_intervals(
     """(id, cuts): for each document with repeated bytes, its merged intervals (lo, hi) in order."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    runs = texts.mapInArrow(_runs(length, gram), "id long, start long, count int, anchor long, context long").repartition("anchor")
+    runs = texts.mapInArrow(_runs(length, gram), "id long, start long, count int, anchor long, context long, done boolean").repartition("anchor")
     same = W.partitionBy("anchor", "context").orderBy("id", "start")
     found = (
         runs.withColumn("_first", (F.row_number().over(same) == 1).cast("int"))
         .withColumn("_id0", F.first("id").over(same)).withColumn("_start0", F.first("start").over(same))
         .withColumn("contexts", F.sum("_first").over(W.partitionBy("anchor")))
-        .withColumn("later", ~((F.col("id") == F.col("_id0")) & (F.col("start") == F.col("_start0"))))
+        .withColumn("later", F.col("done") | ~((F.col("id") == F.col("_id0")) & (F.col("start") == F.col("_start0"))))
         .where("later OR contexts > 1")
         .select("id", "start", "count", "anchor", "later", (F.col("contexts") > large).alias("many"))
     )
