@@ -11,7 +11,9 @@ from pyspark.sql import SparkSession
 from tidemark.models import harness
 from tidemark.models.base import model_names
 from tidemark.operators import temporal
+from tidemark.models.warm import warm
 from tidemark.query import PredictiveQuery
+from tidemark.sources.cache import CacheConfig
 from tidemark.sources.export import write_results
 from tidemark.sources.schema import QuerySpec
 
@@ -44,13 +46,16 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("--model", action="append", help="model name; may be given again")
     p.add_argument("--datasets", nargs="*", help="folders of task files to keep")
     p.add_argument("--tasks", default="tasks", help="folder of task files")
+    p.add_argument("--data-dir", help="folder of the tables, instead of beside the database file")
+    p.add_argument("--kinds", nargs="*", help="kinds of task to keep")
+    p.add_argument("--cache-dir", help="folder in which feature matrices are kept")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--n-trials", type=int, default=1)
     p.add_argument("--no-test", action="store_true", help="leave test labels alone")
     p.add_argument("--list", action="store_true", help="list models and tasks")
     p.add_argument("--output", default="results.csv")
     a = p.parse_args(argv)
-    tasks = {k: v for k, v in find_tasks(a.tasks).items() if not a.datasets or k.split("/")[0] in a.datasets}
+    tasks = {k: v for k, v in find_tasks(a.tasks, a.kinds).items() if not a.datasets or k.split("/")[0] in a.datasets}
     if a.list:
         print("\n".join([*[f"model {m}" for m in model_names()], *[f"task {t}" for t in tasks]]))
         return 0
@@ -59,7 +64,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     for name, path in tasks.items():
         for model in a.model or ["dfs-gbt"]:
             try:
-                done.append(run_task(spark, QuerySpec.from_yaml(path), model, a.n_trials, a.seed, not a.no_test))
+                if a.cache_dir:
+                    warm(spark, QuerySpec.from_yaml(path, a.data_dir), CacheConfig(a.cache_dir))
+                done.append(run_task(spark, QuerySpec.from_yaml(path, a.data_dir), model, a.n_trials, a.seed, not a.no_test))
             except Exception as e:  # noqa: BLE001  one task's failure must not end the others
                 failed += 1
                 print(f"{name} {model}: {type(e).__name__}: {e}")

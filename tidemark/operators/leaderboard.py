@@ -116,3 +116,16 @@ def load_reference(spark: SparkSession, path: str, methods: Sequence[str] | None
     if methods is not None:
         raw = raw.where(F.col("method").isin(list(methods)))
     return raw.select("method", F.concat_ws("/", "dataset", "task").alias("task"), to_error(F.col("metric"), F.col("value")).alias("metric_error"))
+
+
+def joined_one_to_one(predictions: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Labels with their predictions; either side's repeated keys are an error."""
+    for name, side in (("predictions", predictions), ("labels", labels)):
+        if side.groupBy(*keys).count().where("count > 1").head(1):
+            raise ValueError(f"{name} repeat a key")
+    return labels.join(predictions, list(keys), "left")
+
+
+def with_meta(frame: DataFrame, meta: DataFrame) -> DataFrame:
+    """Rows with what is known of their method and task."""
+    return frame.join(meta, ["method", "task"], "left")

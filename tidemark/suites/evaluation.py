@@ -124,6 +124,20 @@ def leaderboard_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.leaderboard(_results(spark, sf_dir), anchor="A").select("method", "elo", "n_tasks")
 
 
+def prediction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test labels with their predictions, one to one."""
+    train, test = _train_test(spark, sf_dir)
+    scored = entity_scores(train, test.drop("churn"), "c_custkey", "churn", "binary_classification")
+    return lb.joined_one_to_one(scored, test, ["timestamp", "c_custkey"])
+
+
+def results_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors with the metric and time of their method and task."""
+    results = _results(spark, sf_dir)
+    meta = results.select(F.col("model").alias("method"), F.concat_ws("/", "dataset", "task").alias("task"), "metric", "fit_time_tuning")
+    return tidy(lb.with_meta(lb.error_frame(results).select("method", "task", "metric_error"), meta))
+
+
 def loss_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(lb.heatmap(lb.rescaled(lb.drop_incomplete(lb.error_frame(_results(spark, sf_dir))))))
 
@@ -167,7 +181,7 @@ QUERIES = {
     for f in (
         ctx_recency_rank, ctx_hard_pool, ctx_soft_pool, ctx_union_remap, ctx_random, ctx_random_regression, model_constant_global,
         model_constant_entity, model_constant_entity_regression, metric_ranking, metric_threshold, metric_regression, leaderboard_frame,
-        leaderboard_dense, rescaled_loss, avg_rank, winrate, winrate_matrix, leaderboard_elo, loss_heatmap, reference_union, metric_pivot,
+        leaderboard_dense, rescaled_loss, avg_rank, winrate, winrate_matrix, leaderboard_elo, prediction_join, results_meta, loss_heatmap, reference_union, metric_pivot,
         fingerprint_table, target_moments, ensemble_link,
     )
 }
@@ -230,6 +244,8 @@ ORACLES = {
         m AS (SELECT method, avg(r) OVER (PARTITION BY task, metric_error) AS r FROM n) SELECT method, {r4('avg(r)')} AS rank FROM m GROUP BY method""",
     "winrate": f"WITH {_RESULTS}, {_PAIRS} SELECT a AS method, {r4('avg(win)')} AS win_rate FROM pairs GROUP BY a",
     "winrate_matrix": f"WITH {_RESULTS}, {_PAIRS} SELECT a, b, {r4('sum(win)')} AS wins, count(*) AS n FROM pairs GROUP BY a, b",
+    "prediction_join": f"WITH {_SCORED} SELECT timestamp, c_custkey, y AS churn, score FROM scored",
+    "results_meta": f"WITH {_RESULTS} SELECT method, f.task, {r4('metric_error')} AS metric_error, metric, {r4('fit_time_tuning')} AS fit_time_tuning FROM frame f JOIN results r ON model = method AND dataset || '/' || r.task = f.task",
     "loss_heatmap": f"""WITH {_RESULTS}, {_SCALED} SELECT task, {r4("max(loss) FILTER (method = 'A')")} AS "A", {r4("max(loss) FILTER (method = 'N')")} AS "N",
         {r4("max(loss) FILTER (method = 'R')")} AS "R" FROM losses GROUP BY task""",
     "reference_union": f"""WITH {_RESULTS} SELECT method, task, {r4('metric_error')} AS metric_error, {r4('time_train_s')} AS time_train_s FROM frame WHERE method <> 'R'

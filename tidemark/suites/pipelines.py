@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tidemark.models import harness
 from tidemark.operators import temporal
+from tidemark.models.warm import cached_features
 from tidemark.query import PredictiveQuery
 from tidemark.sources.cache import CacheConfig, cached_artifact, matrix_key
 from tidemark.sources.export import text_store, write_dataset
 from tidemark.sources.schema import DatabaseSpec, QuerySpec, TableSpec, TaskSpec, materialize
 from tidemark.streaming.windows import window_labels
 from tidemark.suites.common import star
+from tidemark.suites.features import tidy
 from tidemark.suites.keys import CHURN, EARLIEST, TEST, VAL, _churn
 from tidemark.suites.labels import LABELS, QUARTER
 
@@ -90,6 +92,16 @@ def cached_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached_artifact(spark, CacheConfig(config.root, "raise"), key, build)
 
 
+def warmed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth 2 of a matrix kept at depth 3, read in strict mode after it was filled."""
+    q = PredictiveQuery(spark, _spec(sf_dir))
+    test = q.compute_test_labels()
+    root = _shared(spark)
+    for policy in ("fill", "raise"):
+        out = cached_features(spark, CacheConfig(root, policy), "star", q.db, CHURN, test, "test", max_depth=3, depth=2)
+    return tidy(out.select("c_custkey", "timestamp", "`d2__customer.COUNT(orders)`", "`d2__customer.SUM(orders.o_totalprice)`"))
+
+
 def export_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exported masked test split, read back: the target is a constant 0 of the training type."""
     folder = _shared(spark)
@@ -123,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         predict_constant_entity, predict_constant_rekeyed, predict_median_spending, predict_gbt, predict_dfs_gbt, experiment_results, task_catalogue,
-        cached_labels, export_splits, materialized_tables, text_store_keys, stream_window_labels,
+        cached_labels, warmed_matrix, export_splits, materialized_tables, text_store_keys, stream_window_labels,
     )
 }
 
@@ -145,6 +157,9 @@ ORACLES = {
         FROM customer LEFT JOIN g ON o_custkey = c_custkey""",
     "task_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{','.join(t)}', {s.days}, {len(a)})" for n, (t, a, s, _) in LABELS.items()) + ") v(name, tables, step_days, n_anchors)",
     "cached_labels": _churn([TEST]),
+    "warmed_matrix": f"""WITH s AS ({_churn([TEST])}) SELECT timestamp, c_custkey, count(o_orderkey)::DOUBLE AS "d2__customer_COUNT_orders",
+          floor(sum(o_totalprice) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS "d2__customer_SUM_orders_o_totalprice"
+        FROM s LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < timestamp GROUP BY ALL""",
     "export_splits": f"SELECT timestamp, c_custkey, 0::INTEGER AS churn FROM ({_churn([TEST])})",
     "materialized_tables": "SELECT * FROM nation",
     "text_store_keys": "SELECT DISTINCT sha256(p_type) AS key, p_type AS text FROM part WHERE p_type NOT IN (SELECT c_mktsegment FROM customer)",
