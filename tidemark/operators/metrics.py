@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.numbering import range_numbered
+
 HIGHER_IS_BETTER = {"roc_auc", "average_precision", "accuracy", "f1", "r2"}
 METRICS = (*sorted(HIGHER_IS_BETTER), "mae", "rmse")
 PRIMARY = {"binary_classification": "roc_auc", "regression": "mae"}
@@ -21,25 +22,21 @@ def to_error(metric: Column | str, score: Column) -> Column:
 
 
 def by_score(df: DataFrame) -> DataFrame:
-    """Rows per distinct score with running counts: what both ranking metrics need.
+    """Rows per distinct score with running counts from the highest score down: what both ranking metrics need.
 
-    Scores are counted first, so the running sums go over distinct scores, in score order.
+    Scores are counted first; running counts come from per-partition totals, so no task sees all scores.
     """
-    grouped = df.groupBy("score").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return grouped.select(
-        "score", "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"),
-        F.sum("pos").over(W.partitionBy()).alias("all_pos"), F.sum("n").over(W.partitionBy()).alias("all_n"),
-    )
+    grouped = df.groupBy((-F.col("score")).alias("down")).agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    placed = range_numbered(grouped, ["down"], sums=["pos", "n"])
+    total = grouped.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    return placed.withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn("seen", F.col("n_before") + F.col("n")).crossJoin(F.broadcast(total))
 
 
 def ranking(df: DataFrame) -> DataFrame:
     """roc_auc (mid-ranks; null with one class) and average_precision (tied scores step together)."""
-    s = by_score(df)
     negative = F.col("n") - F.col("pos")
-    above = F.col("tp") - F.col("pos")
-    return s.agg(
-        (F.sum(negative * (above + F.col("pos") / 2)) / F.nullif(F.first("all_pos") * (F.first("all_n") - F.first("all_pos")), F.lit(0.0))).alias("roc_auc"),
+    return by_score(df).agg(
+        (F.sum(negative * (F.col("pos_before") + F.col("pos") / 2)) / F.nullif(F.first("all_pos") * (F.first("all_n") - F.first("all_pos")), F.lit(0.0))).alias("roc_auc"),
         (F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.nullif(F.first("all_pos"), F.lit(0.0))).alias("average_precision"),
     )
 
