@@ -19,7 +19,7 @@ def test__registry__one_query_per_operator():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test__query__equals_sql(name, spark, data):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     df = queries.queries()[name](spark, data)
     columns = sorted(df.columns)
