@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.numbering import cut, range_numbered
 
-__all__ = ["BROADCAST_ROWS", "cut", "documents", "join_by_size", "range_numbered", "small_batches"]
+__all__ = ["BROADCAST_BYTES", "cut", "documents", "fresh", "join_by_size", "may_broadcast", "range_numbered", "small_batches"]
 
-#: Rows that may be broadcast: two longs a row, so 16 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: What may be broadcast, and the bytes that a value of no fixed size is taken to have.
+BROADCAST_BYTES, LOOSE_VALUE = 16 << 20, 64
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -27,8 +27,24 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame has such a column already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def may_broadcast(df: DataFrame) -> bool:
+    """Whether the counted rows of a frame are within BROADCAST_BYTES."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
+    rows = BROADCAST_BYTES // sum(fixed.get(kind, LOOSE_VALUE) for _, kind in df.dtypes)
+    return df.limit(rows + 1).count() <= rows
+
+
 def join_by_size(left: DataFrame, keys: DataFrame, on: str | Sequence[str] | Column, how: str) -> DataFrame:
-    """Join with a side that is usually small: broadcast it only if its counted rows are within ``BROADCAST_ROWS``."""
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return left.join(keys, on, how)
+    """Join with a side that is usually small: broadcast it only if its counted rows allow it."""
+    return left.join(F.broadcast(keys) if may_broadcast(keys) else keys, on, how)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, cut, join_by_size, small_batches
+from tidemark.llm.common import BROADCAST_BYTES, cut, join_by_size, small_batches
 from tidemark.llm.text import chunks, mix, prefix, spans
 
 _PLACE = 0xFFFFFF  # places in a chunk's low bits; a chunk over 16 MB uses more of them
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = repeated_intervals(docs, id_col=id_col, text_col=text_col, **options)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
-    both = texts.join(F.broadcast(cuts) if size <= BROADCAST_ROWS else cuts, "id", "left")
+    both = texts.join(F.broadcast(cuts) if 16 * size <= BROADCAST_BYTES else cuts, "id", "left")
     return both.select("id", "text", "cuts").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
