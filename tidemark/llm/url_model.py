@@ -34,10 +34,11 @@ def default_labelled() -> list[tuple[str, int]]:
     ends = ("com", "net", "org")
     for label, names in ((1, UNWANTED), (0, WANTED)):
         for i, name in enumerate(names):
-            other = names[(i * 7 + 3) % len(names)]
-            for k, host in enumerate((f"{name}", f"www.{name}-{other}", f"{name}{other}", f"m.{name}-{names[(i * 11 + 5) % len(names)]}")):
+            a, b, c = (names[(i * m + k) % len(names)] for m, k in ((7, 3), (11, 5), (13, 9)))
+            hosts = (name, f"www.{name}-{a}", f"{name}{a}", f"m.{name}-{b}", f"{c}-{name}", f"blog.{b}{name}", f"the-{name}", f"www.{name}{c}")
+            for k, host in enumerate(hosts):
                 out.append((f"https://{host}.{('example.' if k % 2 else '') + ends[(i + k) % 3]}/{('en', 'de', 'fr', 'es')[(i + k) % 4]}/{(i * 37 + k) % 1000}", label))
-            out.append((f"http://site{i}.example.{ends[i % 3]}/{name}/{other}.html", label))
+            out.append((f"http://site{i}.example.{ends[i % 3]}/{name}/{a}.html", label))
     parts = "th er in on an re ti es or te ed is it al ar st nd to nt ng".split()
     for i in range(240):  # invented names without meaning are wanted
         name = "".join(parts[(i * a + b) % len(parts)] for a, b in ((3, 1), (7, i // 20), (11, 5)))
@@ -86,7 +87,7 @@ def _scores(marked: pa.Array, weights: np.ndarray, bias: float, bits: int, width
 
 
 def fit(
-    labelled: Sequence[tuple[str, int]], bits: int = 14, widths: Sequence[int] = (3, 4, 5), penalty: float = 1e-4, steps: int = 400
+    labelled: Sequence[tuple[str, int]], bits: int = 14, widths: Sequence[int] = (3, 4, 5), penalty: float = 1e-5, steps: int = 1000
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient steps with momentum on the penalised log-likelihood; classes weigh the same."""
     if len(labelled) > MAX_LABELLED:
