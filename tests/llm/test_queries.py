@@ -41,3 +41,23 @@ def test__pipeline__stages__keep_columns_and_take_effect(spark, data, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert packed.select("doc_id").distinct().count() == sizes[4]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mixing", "best_fit_packing"]
+
+
+def test__stages__odd_rows_and_no_rows__columns_kept(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _tm_at string, index long"
+    text = "a stone by the river and a light in the garden of the house at night " * 2
+    rows = [(i, f"{text} number{i} of many words that differ {i * 7}", "en", "s", 5, None, 1) for i in range(30)]
+    rows += [(40, None, None, None, None, None, None), (41, "", "en", None, 0, "x", 1), (None, text + " null id", None, "s", 1, None, 2), (3, rows[3][1], "en", "s", 5, None, 1)]
+    docs = spark.createDataFrame(rows, schema)
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "").cache()
+        sizes[name] = out.count()
+        assert stage(spark, docs.limit(0), "").count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        if name == "source_mixing":
+            assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+        if name == "quality_rules":
+            assert {40, 41}.isdisjoint({r.doc_id for r in out.collect()})
+    assert sizes["line_dedup"] == sizes["source_mixing"] == len(rows) and sizes["best_fit_packing"] == len(rows)

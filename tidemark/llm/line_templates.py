@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_by_size, small_batches
+from tidemark.llm.common import cut, fresh, join_by_size, small_batches
 from tidemark.llm.text import chunks, mix, powers, prefix, spans, words
 
 PLACES = 32
@@ -171,27 +171,30 @@ def recurring_lines(
     return join_by_size(placed, recurring(own), "template", "left_semi").select("id", "key", "number", "template")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without the lines of recurring templates; all columns stay, and ``_tm_dropped`` counts lines.
+def drop_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "_tm_dropped", **options
+) -> DataFrame:
+    """The documents without the lines of recurring templates; all columns stay, and ``dropped_col`` counts lines.
 
     Nulls: a null text stays null; null ids are ids like others.  Repeated rows of one id and text are one document when
     documents are counted, and each loses the same lines.  A text of recurring lines only becomes empty.  Texts without
     such lines are unchanged to the byte.  An empty table gives no rows.
     """
+    key, crc, lost, own = fresh(docs, "_tm_id", "_tm_key", "_tm_drop", "_tm_text")
     drops = cut(
         recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
-        .groupBy("id", "key").agg(F.collect_set("number").alias("_tm_drop"))
-        .select(F.col("id").alias("_tm_id"), F.col("key").alias("_tm_key"), "_tm_drop")
+        .groupBy("id", "key").agg(F.collect_set("number").alias(lost))
+        .select(F.col("id").alias(key), F.col("key").alias(crc), lost)
     )
-    found = docs.withColumn("_tm_text", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_text") == F.col("_tm_key"))
+    found = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(crc))
     both = join_by_size(found, drops, same, "left")
     name = "`" + text_col.replace("`", "``") + "`"
     cleaned = F.expr(
         f"array_join(transform(filter(transform(split({name}, '\\n', -1), (x, i) -> named_struct('x', x, 'i', i)), "
-        "s -> NOT array_contains(_tm_drop, s.i)), s -> s.x), '\\n')"
+        f"s -> NOT array_contains({lost}, s.i)), s -> s.x), '\\n')"
     )
     return both.select(
-        *[F.when(F.col("_tm_drop").isNotNull(), cleaned).otherwise(F.col(name)).alias(c) if c == text_col else both[c] for c in docs.columns],
-        F.when(F.col("_tm_drop").isNull(), 0).otherwise(F.size("_tm_drop")).alias("_tm_dropped"),
+        *[F.when(F.col(lost).isNotNull(), cleaned).otherwise(F.col(name)).alias(c) if c == text_col else both[c] for c in docs.columns],
+        F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).alias(dropped_col),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_by_size
+from tidemark.llm.common import cut, fresh, join_by_size
 from tidemark.llm.line_templates import drop_lines
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
@@ -20,29 +20,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; ``n_chars`` follows the text where lines went."""
-    out = drop_lines(docs)
+    (count,) = fresh(docs, "_tm_dropped")
+    out = drop_lines(docs, dropped_col=count)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_tm_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates (five words, similarity 0.8)."""
-    gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_tm_id")).distinct()
-    return join_by_size(docs, cut(gone), F.col("doc_id") == F.col("_tm_id"), "left_anti")
+    (key,) = fresh(docs, "_tm_id")
+    gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return join_by_size(docs, cut(gone), F.col("doc_id") == F.col(key), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the mixed order: files and rows in files follow the position."""
+    key, crc, at, own = fresh(docs, "_tm_id", "_tm_crc", "_tm_at", "_tm_text")
     positions = cut(
-        mix_sources(docs).groupBy("doc_id", "text_crc32").agg(F.min("position").alias("_tm_at"))
-        .select(F.col("doc_id").alias("_tm_id"), F.col("text_crc32").alias("_tm_crc"), "_tm_at")
+        mix_sources(docs).groupBy("doc_id", "text_crc32").agg(F.min("position").alias(at))
+        .select(F.col("doc_id").alias(key), F.col("text_crc32").alias(crc), at)
     )
-    found = docs.withColumn("_tm_text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_text") == F.col("_tm_crc"))
+    found = docs.withColumn(own, F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(crc))
     placed = join_by_size(found, positions, same, "inner")
-    return placed.repartitionByRange("_tm_at").sortWithinPartitions("_tm_at").select(docs.columns)
+    return placed.repartitionByRange(at).sortWithinPartitions(at).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
