@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_by_size, small_batches
+from tidemark.llm.common import cut, fresh, join_by_size, small_batches
 from tidemark.llm.text import _SPACE, chunks, prefix, spans, words
 
 WINDOW = 8
 
+#: One over the rank error of quantiles; their sketches grow with it, and each task sends one for each group.
+ACCURACY = 1_000
+
 #: Names of the statistics and the least standard deviation each is taken to have, in transformed units.
 STATISTICS = {
     "symbols": 0.06,
@@ -237,12 +240,12 @@ def quality(
         measured.where("NOT base_failed")
         .select(F.explode(F.array("g_source", "g_lang", F.lit("*"))).alias("g"), *xs)
     )
-    sizes = cut(levels.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"m{x[1:]}") for x in xs]).where(f"n >= {least_rows}"))
+    sizes = cut(levels.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m{x[1:]}") for x in xs]).where(f"n >= {least_rows}"))
     parameters = " , ".join(["g string"] + [f"m{i} double" for i in range(p)] + [f"w{i}_{j} double" for i in range(p) for j in range(i + 1)])
     # Start: medians and median absolute deviations.
     spread = join_by_size(levels, sizes, "g", "inner").groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
-        *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(p)],
+        *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"d{i}") for i in range(p)],
     )
     fitted = cut(
         spread.select(
@@ -258,7 +261,7 @@ def quality(
     for step in range(steps + 1):
         last = step == steps
         far = join_by_size(levels, fitted, "g", "inner").select("g", *xs, distance.alias("d2"))
-        bound = cut(far.groupBy("g").agg(F.percentile_approx("d2", F.array(F.lit(core), F.lit(0.5)), 10_000).alias("q")))
+        bound = cut(far.groupBy("g").agg(F.percentile_approx("d2", F.array(F.lit(core), F.lit(0.5)), ACCURACY).alias("q")))
         # The last step takes all rows within the 97.5 % ellipsoid of the rescaled estimate.
         within = F.col("d2") <= (F.greatest(F.col("q")[1] / middle, F.lit(1e-12)) * most if last else F.col("q")[0])
         moments = (
@@ -291,7 +294,8 @@ def quality(
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that ``quality`` keeps, with all their columns."""
     judged = quality(docs, id_col=id_col, text_col=text_col, **options)
-    gone = cut(judged.where("NOT kept").select(F.col("doc_id").alias("_tm_id"), F.col("text_key").alias("_tm_key")).distinct())
-    found = docs.withColumn("_tm_text", F.xxhash64(F.col(text_col)))
-    same = found[id_col].cast("long").eqNullSafe(gone["_tm_id"]) & (found["_tm_text"] == gone["_tm_key"])
-    return join_by_size(found, gone, same, "left_anti").drop("_tm_text")
+    key, crc, own = fresh(docs, "_tm_id", "_tm_key", "_tm_text")
+    gone = cut(judged.where("NOT kept").select(F.col("doc_id").alias(key), F.col("text_key").alias(crc)).distinct())
+    found = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(crc))
+    return join_by_size(found, gone, same, "left_anti").drop(own)
