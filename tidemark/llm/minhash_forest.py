@@ -3,9 +3,10 @@
 Every document's set of word shingles gets ``trees`` keys of ``depth`` minhash values.  Each tree is a sorted order of
 its keys: documents next to each other share the longest prefix there.  A region is a run that shares the first
 ``least_depth`` values.  In a region of up to ``reach + 1`` documents all pairs are candidates, whatever the depth; in a
-larger one depth adapts: a document's candidates are its ``reach`` next neighbours in the order, which share the longest
-prefixes.  Candidates are confirmed on full sets.  What a large region leaves uncompared is compared afterwards, except
-where both documents have come into one component already, so no pair that shares a region is lost to the reach.
+larger one depth adapts, and a document's candidates are its next neighbours in the order, which share the longest
+prefixes.  Candidates are confirmed on full sets.  Large regions that these links do not bring into one component are
+then compared in tiles of two blocks, exactly and between different components only, so that no pair that shares a
+region is lost; a tile returns one link for each pair of components.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from tidemark.llm.common import cut, join_by_size, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.text import chunks, mix, shingle_sets
 
-#: Documents in a block of a large region; a tile holds two blocks.
-TILE = 512
+#: Documents, and shingle hashes of all of them, in a block of a large region; a tile holds two blocks.
+TILE, TILE_ITEMS = 1024, 1 << 19
+
+#: Shingles whose incidence is held at once in a tile.
+TILE_COLUMNS = 512
 
 _SEED = 0x5851F42D4C957F2D
 
@@ -82,58 +86,53 @@ def _sets(width: int):
     return run
 
 
-def _neighbours(least: int, reach: int, percent: int):
-    """Sorted (tree, key, size, node) batches to pairs (a, b, near) of neighbours sharing ``least`` values.
+def _neighbours(reach: int, percent: int):
+    """Sorted (tree, key, size, node, region, large) batches to pairs (a, b) of neighbours in one region.
 
-    The first and last ``reach`` rows of a partition go out as edge rows too (a = node, b null), for the pairs over a
-    border of two partitions.
+    In a small region every later document within ``reach`` is a neighbour, in a large one the next document only.  The
+    first and last ``reach`` rows of a partition go out as edge rows too (b null), for pairs over a border of partitions.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("size", pa.int64())])
+    names = ("tree", "key", "size", "region", "large")
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *zip(names, kinds, strict=True)])
 
     def edge(rows: pa.Table) -> pa.RecordBatch:
-        n = rows.num_rows
+        rows = rows.combine_chunks()
         return pa.record_batch(
-            [rows["node"].combine_chunks(), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), rows["tree"].combine_chunks(), rows["key"].combine_chunks(), rows["size"].combine_chunks()],
-            schema=schema,
+            [rows["node"].chunk(0), pa.nulls(rows.num_rows, pa.int64()), *[rows[n].chunk(0) for n in names]], schema=schema
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
-        begun = False
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
-            if not begun:
+            if tail is None:
                 yield edge(rows.slice(0, reach))
-                begun = True
             joined = rows if tail is None else pa.concat_tables([tail, rows])
-            old = 0 if tail is None else tail.num_rows
-            found = pairs(joined, old)
-            if len(found[0]):
-                yield pa.record_batch([*map(pa.array, found), pa.nulls(len(found[0]), pa.int32()), pa.nulls(len(found[0]), pa.binary()), pa.nulls(len(found[0]), pa.int64())], schema=schema)
+            a, b = pairs(joined, 0 if tail is None else tail.num_rows)
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b), *[pa.nulls(len(a), k) for k in kinds]], schema=schema)
             tail = joined.slice(max(0, joined.num_rows - reach)).combine_chunks()
         if tail is not None:
             yield edge(tail)
 
-    def pairs(rows: pa.Table, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node, size = rows["node"].to_numpy(), rows["size"].to_numpy()
-        tree = rows["tree"].to_numpy()
-        keys = b"".join(x[: 4 * least] for x in rows["key"].to_pylist())
-        keys = np.frombuffer(keys, "V%d" % (4 * least)).view(">u4").reshape(-1, least)
-        group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(1) | (tree[1:] != tree[:-1]))))
-        out = []
-        for lag in range(1, reach + 1):
+    def pairs(rows: pa.Table, old: int) -> tuple[np.ndarray, np.ndarray]:
+        node, size, region = (rows[c].to_numpy() for c in ("node", "size", "region"))
+        large = rows["large"].to_numpy()
+        a, b = [], []
+        for lag in range(1, min(reach, len(node) - 1) + 1):
             i = np.arange(max(0, old - lag), len(node) - lag)
-            if not len(i):
-                break
             j = i + lag
-            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            ok = (group[i] == group[j]) & (100 * small >= percent * large) & (node[i] != node[j])
-            i, j = i[ok], j[ok]
-            out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.full(len(i), lag, np.int32)))
-        a, b, near = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return a, b, near.astype(np.int32)
+            small, most = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            ok = (region[i] == region[j]) & (100 * small >= percent * most) & (node[i] != node[j])
+            if lag > 1:
+                ok &= ~large[i]
+            a.append(np.minimum(node[i[ok]], node[j[ok]]))
+            b.append(np.maximum(node[i[ok]], node[j[ok]]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
 
     return run
 
@@ -174,39 +173,36 @@ def near_duplicates(
         F.posexplode(F.array(*[F.substring("keys", 1 + t * step, step) for t in range(trees)])).alias("tree", "key"),
         "size",
         "node",
+    ).withColumn("region", F.xxhash64("tree", F.substring("key", 1, 4 * least_depth)))
+    large = cut(
+        rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items")).where(F.col("n") > reach + 1)
     )
+    flags = large.select("region", F.lit(True).alias("large"))
+    flagged = join_by_size(rows, flags, "region", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     order = ["tree", "key", "node"]
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    make = _neighbours(least_depth, reach, percent)
-    schema = "a long, b long, near int, tree int, key binary, size long"
+    sorted_rows = flagged.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "size", "node", "region", "large")
+    make = _neighbours(reach, percent)
+    schema = "a long, b long, tree int, key binary, size long, region long, large boolean"
     found = cut(sorted_rows.mapInArrow(make, schema))
     # Rows at the borders of partitions, a few for each partition, meet in one small sorted run.
-    edges = found.where("b IS NULL").select("tree", "key", "size", F.col("a").alias("node")).distinct()
+    edges = found.where("b IS NULL").select("tree", "key", "size", F.col("a").alias("node"), "region", "large").distinct()
     border = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(make, schema)
-    candidates = cut(
-        found.where("b IS NOT NULL").unionByName(border.where("b IS NOT NULL")).groupBy("a", "b").agg(F.min("near").alias("near"))
-    )
+    pairs = found.where("b IS NOT NULL").unionByName(border.where("b IS NOT NULL")).select("a", "b").distinct()
+    candidates = cut(pairs)
     nodes = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    sets = _sets_of(texts, nodes, width)
-    first = candidates.where("near <= 2")
-    links = _confirm(first, sets, percent)
-    joined = components(links)
-    # The rest: only pairs that have not met in a component.
-    rest = _apart(candidates.where("near > 2").select("a", "b"), joined)
-    links = cut(links.unionByName(_confirm(rest, sets, percent)))
+    links = cut(_confirm(candidates, _sets_of(texts, nodes, width), percent))
     joined = cut(components(links))
-    # Large regions: pairs beyond the reach that have not met either.
-    prefix = rows.select(F.xxhash64("tree", F.substring("key", 1, 4 * least_depth)).alias("region"), "size", "node")
-    large = prefix.groupBy("region").count().where(F.col("count") > reach + 1).select("region")
-    inside = prefix.join(large, "region").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Large regions: what their neighbours have not brought into one component is compared in tiles.
+    inside = join_by_size(rows.select("region", "node"), large, "region", "inner").join(joined, "node", "left")
+    inside = inside.withColumn("label", F.coalesce("label", "node"))
     mixed = cut(
         inside.groupBy("region")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n"), F.first("items").alias("items"))
         .where("lo < hi")
-        .select("region", F.ceil(F.col("n") / TILE).alias("blocks"))
+        .select("region", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("items") / TILE_ITEMS)).alias("blocks"))
     )
     if mixed.limit(1).count():
-        inside = cut(inside.join(mixed, "region").select("region", "blocks", "label", "node"))
+        inside = cut(join_by_size(inside.select("region", "label", "node"), mixed, "region", "inner").select("region", "blocks", "label", "node"))
         sets = _sets_of(texts, inside.select(F.col("node").alias("id")).distinct(), width)
         tiles = (
             inside.join(sets, F.col("node") == F.col("id"))
@@ -255,9 +251,9 @@ def _tile(percent: int):
         common = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-            a, b = np.searchsorted(column, (first, first + 2048))
-            dense = np.zeros((len(block), 2048), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, TILE_COLUMNS):
+            a, b = np.searchsorted(column, (first, first + TILE_COLUMNS))
+            dense = np.zeros((len(block), TILE_COLUMNS), np.float32)
             dense[owner[a:b], column[a:b] - first] = 1
             common += dense[left] @ dense[right].T
         size = np.diff(at).astype(np.float32)
@@ -288,13 +284,3 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    left = joined.select(F.col("node").alias("a"), F.col("label").alias("_la"))
-    right = joined.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
-    return (
-        pairs.join(left, "a", "left").join(right, "b", "left")
-        .where("coalesce(_la, a) <> coalesce(_lb, b)").select("a", "b")
-    )
