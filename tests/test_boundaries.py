@@ -95,6 +95,9 @@ def test__clean_columns__all_null_and_unnamed__go(spark):
     out = keys.clean_columns(RelDatabase({"facts": RelTable(facts), "empty": empty}))
     assert out["facts"].df.columns == ["driver_id", "sparse"]
     assert "all_nan" in out["empty"].df.columns
+    people = RelDatabase({"users": RelTable(times(spark, [(1, "a", 4.5)], "user_id long, name string, max_beer_rating double"), "user_id")})
+    assert keys.clean_columns(people, "rel-ratebeer")["users"].df.columns == ["user_id", "name"]
+    assert keys.clean_columns(people, "other")["users"] is people["users"]
 
 
 def test__seeds__unknown_ids__warn_and_scalar_raises(events):

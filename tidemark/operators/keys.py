@@ -12,8 +12,12 @@ from tidemark.functions.columns import quoted
 from tidemark.operators.numbering import range_numbered
 from tidemark.sources.schema import RelDatabase, RelTable, warn
 
-#: Columns that leak the future in a known database, by database name.
-LEAKING = {"rel-ratebeer": {"max_beer_rating"}}
+# Columns computed over a whole rating history, by database and table; they tell of times after a row's own.
+LEAKING = {
+    "rel-ratebeer": {
+        "users": ("max_beer_rating", "min_beer_rating", "max_place_rating", "min_place_rating", "place_first_rating", "place_last_rating"),
+    },
+}
 
 
 def dense_ids(table: RelTable, order: Sequence[str] = ()) -> DataFrame:
@@ -78,12 +82,12 @@ def null_census(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(quoted(c))).alias(f"nn_{c}") for c in df.columns])
 
 
-def clean_columns(db: RelDatabase, name: str = "", leaking: Mapping[str, set[str]] = LEAKING) -> RelDatabase:
+def clean_columns(db: RelDatabase, name: str = "", leaking: Mapping[str, Mapping[str, Sequence[str]]] = LEAKING) -> RelDatabase:
     """Drop columns that are all null, named ``Unnamed: ...``, or known to leak; untouched tables stay the same object."""
     out = {}
     for table, t in db.tables.items():
         row = null_census(t.df).first()
-        gone = {c for c in t.df.columns if c.startswith("Unnamed:") or c in leaking.get(name, ())}
+        gone = {c for c in t.df.columns if c.startswith("Unnamed:") or c in leaking.get(name, {}).get(table, ())}
         if row["n_rows"]:
             gone |= {c for c in t.df.columns if row[f"nn_{c}"] == 0}
         gone -= {t.pkey, t.time_col, *t.fkeys}
