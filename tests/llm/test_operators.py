@@ -166,6 +166,17 @@ def test__lines__recurring_templates__dropped_elsewhere_not(spark, docs, empty):
     assert line_templates.drop_lines(empty).count() == 0
 
 
+def test__lines__long_lines__all_places_count(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "CELLS", 50)
+    head = prose(1, 34)
+    own = [head + " " + " ".join(f"own{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) for i in range(12)]
+    same = [head + f" this long line names page {i} and then " + prose(2, 40) for i in range(12)]
+    table = [(i, f"{x}\n{prose(i + 700, 200)}") for i, x in enumerate(own + same)]
+    out = {r.doc_id: r for r in line_templates.drop_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert all(out[i].text == table[i][1] for i in range(12))  # a shared start and tails of their own
+    assert all(out[i].text == table[i][1].split("\n", 1)[1] for i in range(12, 24))
+
+
 def test__shards__all_rows__contiguous_and_even(docs, empty, rows):
     got = sharding.shard_by_bytes(docs, 4).collect()
     assert len(got) == len(rows) and {r.law for r in got} == {"bytes"}

@@ -4,7 +4,7 @@ A line goes down the tree by its number of tokens and its first ``lead`` tokens
 In a leaf, a token that stands at its place in ``least_docs`` documents or more is constant and all others are variable
 fields; a line belongs to the template that its constants make if they are at least ``share`` of its tokens.  That is
 the same whatever the order of lines, so all of it is counting: keys are aggregated before they are shuffled, and no
-leaf is gathered.  Places past ``PLACES`` count as one place, holding the hash of the rest of the line.
+leaf is gathered.  Every token of a line is a place, however long the line is.
 
 A template recurs if lines of it stand in ``least_docs`` documents.  A document most of whose words lie in recurring
 lines is a copy of others; copies are counted out and the documents of each template are counted again, so that a text
@@ -23,11 +23,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, fresh, join_by_size, small_batches
 from tidemark.llm.text import chunks, mix, powers, prefix, spans, words
 
-PLACES = 32
+#: Places that one batch of exploded lines holds at most.
+CELLS = 1 << 18
 
 
-def _lines(lead: int, least_tokens: int):
-    """(id, key, text) to one row a line with words: id, key, n_words of the text, line number, tokens, leaf, line, places."""
+def _lines(lead: int, least_tokens: int, places: bool = False):
+    """(id, key, text) to one row a line with words: id, key, n_words of the text, line number, tokens, leaf, line.
+
+    With ``places`` a row is leaf, line and the hashes of the line's tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,18 +62,17 @@ def _lines(lead: int, least_tokens: int):
                 leaf = size.astype(np.uint64)
                 for k in range(lead):
                     leaf = mix(leaf * np.uint64(0x9E3779B97F4A7C15) + np.where(size > k, hashed[np.minimum(begin + k, stop - 1)], np.uint64(0)))
-                held = np.minimum(size, PLACES)
-                rest = size > PLACES
-                tail = np.zeros(len(size), np.uint64)
-                tail[rest] = spans(sums, begin[rest] + PLACES, stop[rest])
-                count = held + rest
-                offsets = np.concatenate(([0], np.cumsum(count)))
-                flat = np.repeat(begin - offsets[:-1], count) + np.arange(offsets[-1])
-                places = (hashed[np.minimum(flat, len(hashed) - 1)] >> np.uint64(32)).astype("<u4")
-                places[offsets[1:][rest] - 1] = (tail[rest] >> np.uint64(32)).astype("<u4")
-                packed = pa.Array.from_buffers(
-                    pa.binary(), len(size), [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())]
-                )
+                if places:
+                    offsets = np.concatenate(([0], np.cumsum(size)))
+                    flat = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+                    cells = (hashed[flat] >> np.uint64(32)).astype("<u4")
+                    packed = pa.Array.from_buffers(
+                        pa.binary(), len(size), [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())]
+                    )
+                    yield pa.record_batch(
+                        [pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), packed], names=["leaf", "line", "places"]
+                    )
+                    continue
                 take = pa.array(doc + first)
                 yield pa.record_batch(
                     [
@@ -80,9 +83,8 @@ def _lines(lead: int, least_tokens: int):
                         pa.array(size),
                         pa.array(leaf.view(np.int64)),
                         pa.array(whole.view(np.int64)),
-                        packed,
                     ],
-                    names=["id", "key", "n_words", "number", "tokens", "leaf", "line", "places"],
+                    names=["id", "key", "n_words", "number", "tokens", "leaf", "line"],
                 )
 
     return run
@@ -94,18 +96,21 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("places").to_pylist()
         count = np.array([len(x) // 4 for x in texts], np.int64)
         offsets = np.concatenate(([0], np.cumsum(count)))
-        place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], count)
-        take = pa.array(np.repeat(np.arange(len(texts)), count))
-        yield pa.record_batch(
-            [
-                batch.column("leaf").take(take),
-                batch.column("line").take(take),
-                pa.array(place.astype(np.int32)),
-                pa.array(np.frombuffer(b"".join(texts), "<u4").astype(np.int64)),
-                batch.column("docs").take(take),
-            ],
-            names=["leaf", "line", "place", "token", "docs"],
-        )
+        tokens = np.frombuffer(b"".join(texts), "<u4")
+        for low in range(0, len(tokens), CELLS):
+            at = np.arange(low, min(low + CELLS, len(tokens)))
+            row = np.searchsorted(offsets, at, "right") - 1
+            take = pa.array(row)
+            yield pa.record_batch(
+                [
+                    batch.column("leaf").take(take),
+                    batch.column("line").take(take),
+                    pa.array((at - offsets[row]).astype(np.int32)),
+                    pa.array(tokens[at].astype(np.int64)),
+                    batch.column("docs").take(take),
+                ],
+                names=["leaf", "line", "place", "token", "docs"],
+            )
 
 
 def recurring_lines(
@@ -126,14 +131,17 @@ def recurring_lines(
     lines = cut(
         texts.mapInArrow(
             _lines(lead, least_tokens),
-            "id long, key long, n_words long, number int, tokens long, leaf long, line long, places binary",
+            "id long, key long, n_words long, number int, tokens long, leaf long, line long",
         )
     )
     # Distinct lines of each leaf with the documents they stand in; then leaves that stand in enough documents.
-    once = lines.groupBy("leaf", "line", "id", "key").agg(F.first("places").alias("places"))
-    distinct = cut(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("places").alias("places")))
-    leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}").select("leaf")
-    busy = cut(join_by_size(distinct, cut(leaves), "leaf", "left_semi"))
+    once = lines.select("leaf", "line", "id", "key").distinct()
+    distinct = cut(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
+    leaves = cut(distinct.groupBy("leaf").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}").select("leaf"))
+    # Tokens are found anew for lines of these leaves only: those of all lines are about as large as the texts.
+    shown = texts.mapInArrow(_lines(lead, least_tokens, places=True), "leaf long, line long, places binary")
+    once_shown = join_by_size(shown, leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("places").alias("places"))
+    busy = once_shown.join(distinct, ["leaf", "line"])
     cells = cut(busy.mapInArrow(_exploded, "leaf long, line long, place int, token long, docs long"))
     constant = (
         cells.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}").select("leaf", "place", "token")
@@ -153,7 +161,7 @@ def recurring_lines(
         held.join(sized, ["leaf", "line"]).where(F.col("constants") >= share * F.col("places"))
         .select("leaf", "line", F.expr("xxhash64(leaf, t1, t2)").alias("template"))
     )
-    placed = cut(join_by_size(lines.drop("places"), members, ["leaf", "line"], "inner"))
+    placed = cut(join_by_size(lines, members, ["leaf", "line"], "inner"))
 
     def recurring(rows: DataFrame) -> DataFrame:
         return cut(
