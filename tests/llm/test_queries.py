@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import queries
+from tidemark.llm import pfair_mixing, queries, stages
 
 
 def test__registry__one_query_per_operator():
@@ -61,3 +61,20 @@ def test__stages__odd_rows_and_no_rows__columns_kept(spark):
         if name == "quality_rules":
             assert {40, 41}.isdisjoint({r.doc_id for r in out.collect()})
     assert sizes["line_dedup"] == sizes["source_mixing"] == len(rows) and sizes["best_fit_packing"] == len(rows)
+
+
+def test__pipeline__other_weights__other_sequences(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " + "of some words that are many " * 40, "a" if i < 200 else "b") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    shares, packed = [], []
+    for part in (0.9, 0.1):
+        given = {"a": part, "b": 1 - part}
+        monkeypatch.setattr(stages, "mix_sources", lambda docs, given=given: pfair_mixing.mix_sources(docs, given, block_bytes=5000))
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("source_mixing", stages.mixing_stage), ("best_fit_packing", stages.packing_stage)])
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        packed.append(sorted(map(tuple, got)))
+        first = sorted({r.sequence_id for r in got})[:20]
+        early = [r.doc_id for r in got if r.sequence_id in first]
+        shares.append(sum(i < 200 for i in early) / len(early))
+        assert sorted(r.doc_id for r in got) == list(range(400))
+    assert packed[0] != packed[1] and shares[0] > 0.8 and shares[1] < 0.2

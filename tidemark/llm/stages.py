@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, fresh, join_by_size
@@ -48,8 +49,22 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return placed.repartitionByRange(at).sortWithinPartitions(at).select(docs.columns)
 
 
+def _laid_out(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with their place in the order in which they were written (file, then row), or else that of the frame."""
+    try:
+        numbered = docs.withColumns({f"{name}f": F.col("_metadata.file_name"), f"{name}r": F.col("_metadata.row_index")})
+    except AnalysisException:  # no files, so no such column
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    files = numbered.select(f"{name}f").distinct()
+    files = files.withColumn(f"{name}k", F.row_number().over(Window.orderBy(f"{name}f")).cast("long"))
+    return numbered.join(F.broadcast(files), f"{name}f").withColumn(name, F.expr(f"{name}k * 1099511627776 + {name}r")).drop(f"{name}f", f"{name}r", f"{name}k")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their sequence and offset."""
+    """Pieces of the mixed documents with their sequence and offset; sequences are numbered along the mixed order."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=2048)
+    (at,) = fresh(docs, "_tm_place")
+    return pack_documents(
+        _laid_out(docs, at), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=2048, order_col=at
+    )

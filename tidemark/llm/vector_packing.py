@@ -5,6 +5,9 @@ dealt by hash into groups of about ``group_rows`` pieces, and each group is pack
 bin has three residual capacities (tokens, documents, attention cost as the sum of squared lengths); a piece goes to the
 open bin that can take it under every constraint with the smallest weighted norm of what is left (``rule="norm"``) or
 the largest weighted dot product of demand and residual (``rule="dot"``).
+
+With ``order_col`` the groups are consecutive ranges of that order instead, each packed in the same way, and sequences
+are numbered along it, in a group by their earliest piece: a sequence is at most one group away from its pieces' places.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches
+from tidemark.llm.common import cut, range_numbered, small_batches
 
 
 def encoder(ranks_path: str, pattern: str):
@@ -31,23 +34,23 @@ def encoder(ranks_path: str, pattern: str):
 
 
 def _pieces(ranks_path: str, pattern: str, length: int, end_id: int):
-    """(id, text) batches to one row a piece: id, piece, start, length, ids_crc32.  The first piece may be shorter."""
+    """(id, text, at) batches to one row a piece: id, piece, start, length, ids_crc32, at.  The first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern)
         for batch in batches:
-            out: list[tuple[int | None, int, int, int, int]] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[tuple[int | None, int, int, int, int, int | None]] = []
+            for key, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 begin, end = 0, len(ids) % length or length
                 piece = 0
                 while begin < len(ids):
-                    out.append((key, piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
+                    out.append((key, piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes()), at))
                     begin, end, piece = end, end + length, piece + 1
             if out:
                 yield pa.record_batch(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["id", "piece", "start", "length", "ids_crc32"],
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                    names=["id", "piece", "start", "length", "ids_crc32", "at"],
                 )
 
     return run
@@ -103,9 +106,12 @@ def pack_documents(
     group_rows: int = 8192,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    ``order_col`` is a whole-number column; sequence ids then rise along it, group after group.
+
     Without ``max_documents`` and ``max_attention`` those capacities bind no packing that fits by tokens.  A full-length
     piece is a sequence of its own and takes one document and its own attention cost, whatever the capacities.
 
@@ -115,13 +121,35 @@ def pack_documents(
     spark = docs.sparkSession
     small_batches(spark)
     pieces = cut(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        docs.select(
+            F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(order_col) if order_col else F.lit(None)).cast("long").alias("at")
+        ).mapInArrow(
             _pieces(ranks_path, pattern, length, end_id),
-            "id long, piece int, start long, length long, ids_crc32 long",
+            "id long, piece int, start long, length long, ids_crc32 long, at long",
         )
     )
-    groups = -(-pieces.where(F.col("length") < length).count() // group_rows) or 1
     capacity = (float(length), float(max_documents or length), float(max_attention or float(length) ** 2))
+    schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    if order_col:
+
+        def pack_range(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("length", "descending"), ("index", "ascending")])
+            sizes, index = group["length"].to_numpy(), group["index"].to_numpy()
+            full = int((sizes == length).sum())
+            bins, offsets = best_fit(sizes[full:], capacity, weights, rule)
+            bins, offsets = np.concatenate((np.arange(full), full + bins)), np.concatenate((np.zeros(full, np.int64), offsets))
+            earliest = np.full(bins.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(earliest, bins, index)
+            along = np.empty(len(earliest), np.int64)
+            along[np.argsort(earliest)] = np.arange(len(earliest))
+            group = group.append_column("sequence_id", pa.array((group["g"].to_numpy() << 32) + along[bins]))
+            return group.append_column("offset", pa.array(offsets)).drop_columns(["g", "index"])
+
+        ranged = range_numbered(pieces, ["at", "id", "piece", "ids_crc32"]).drop("at").withColumn("g", F.expr(f"index div {group_rows}"))
+        return ranged.groupBy("g").applyInArrow(pack_range, schema).withColumnRenamed("id", "doc_id")
+
+    pieces = pieces.drop("at")
+    groups = -(-pieces.where(F.col("length") < length).count() // group_rows) or 1
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("id", "ascending"), ("ids_crc32", "ascending")])
@@ -133,7 +161,6 @@ def pack_documents(
     rest = numbered.where(F.col("length") < length).select(
         "id", "piece", "start", "length", "ids_crc32", F.expr(f"pmod(xxhash64(id, piece, _at), {groups})").alias("g")
     )
-    schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     packed = rest.groupBy("g").applyInArrow(pack, schema)
     whole = numbered.where(F.col("length") == length).select(
         "id", "piece", "start", "length", "ids_crc32", (-1 - F.col("_at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
