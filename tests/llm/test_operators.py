@@ -314,6 +314,20 @@ def test__packing__all_pieces__fit_and_round_trip(docs, rows, tokenizer, rule):
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces)
 
 
+def test__packing__added_tokens__as_the_vocabulary_file_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", " <|endoftext| >", "no such token"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op8_vector_packing(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test__packing__no_constraints__near_lower_bound(docs, empty):
     got = vector_packing.pack_documents(docs, *RANKS, length=2048).collect()
     total = sum(r.length for r in got)

@@ -17,7 +17,7 @@ from tidemark.llm.pfair_mixing import mix_sources
 from tidemark.llm.robust_outliers import quality
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.url_model import judge_urls
-from tidemark.llm.vector_packing import pack_documents
+from tidemark.llm.vector_packing import added_tokens, pack_documents
 
 #: Host and path rules of the URL query.
 URL_RULES = [
@@ -69,9 +69,8 @@ def op7_longest_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(
-        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=2048
-    )
+    ranks, vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
+    return pack_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, length=2048, added=added_tokens(vocabulary))
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.llm.line_templates import drop_lines
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
 from tidemark.llm.robust_outliers import keep_quality
-from tidemark.llm.vector_packing import pack_documents
+from tidemark.llm.vector_packing import added_tokens, pack_documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +65,5 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     (at,) = fresh(docs, "_tm_place")
-    return pack_documents(
-        _laid_out(docs, at), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=2048, order_col=at
-    )
+    ranks, vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
+    return pack_documents(_laid_out(docs, at), ranks, public_tokenizers.PATTERN, length=2048, order_col=at, added=added_tokens(vocabulary))

@@ -13,8 +13,9 @@ are numbered along it, in a group by their earliest piece: a sequence is at most
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +25,31 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, range_numbered, small_batches
 
 
-def encoder(ranks_path: str, pattern: str):
-    """Byte-level BPE from a ranks file; special tokens' strings are ordinary text."""
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which it finds inside texts.  Only those matched as they stand are known here."""
+    with open(json_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError(f"added tokens of {json_path} are not matched as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoder(ranks_path: str, pattern: str, added: Mapping[str, int] | None = None):
+    """Byte-level BPE from a ranks file; strings of ``added`` become their ids, all else is ordinary text."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    found = {t: i for t, i in (added or {}).items() if ranks.get(t.encode()) != i}
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=found)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
-def _pieces(ranks_path: str, pattern: str, length: int, end_id: int):
+def _pieces(ranks_path: str, pattern: str, length: int, end_id: int, added: Mapping[str, int] | None):
     """(id, text, at) batches to one row a piece: id, piece, start, length, ids_crc32, at.  The first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(ranks_path, pattern, added)
         for batch in batches:
             out: list[tuple[int | None, int, int, int, int, int | None]] = []
             for key, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -107,10 +119,11 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     order_col: str | None = None,
+    added: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``order_col`` is a whole-number column; sequence ids then rise along it, group after group.
+    ``added`` are the tokens that a text's string becomes as one id, see ``added_tokens``.  ``order_col`` is a whole-number column; sequence ids then rise along it, group after group.
 
     Without ``max_documents`` and ``max_attention`` those capacities bind no packing that fits by tokens.  A full-length
     piece is a sequence of its own and takes one document and its own attention cost, whatever the capacities.
@@ -124,7 +137,7 @@ def pack_documents(
         docs.select(
             F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(order_col) if order_col else F.lit(None)).cast("long").alias("at")
         ).mapInArrow(
-            _pieces(ranks_path, pattern, length, end_id),
+            _pieces(ranks_path, pattern, length, end_id, added),
             "id long, piece int, start long, length long, ids_crc32 long, at long",
         )
     )
