@@ -177,6 +177,17 @@ def test__lines__long_lines__all_places_count(spark, monkeypatch):
     assert all(out[i].text == table[i][1].split("\n", 1)[1] for i in range(12, 24))
 
 
+def test__lines__frequent_field_values__stay_variable(spark):
+    def table(n):
+        rng = np.random.default_rng(n)
+        a, b, c = (rng.integers(0, k, n) for k in (20, 10, 8))
+        return [(i, f"This entry was posted by name{chr(97 + a[i])} in city{chr(97 + b[i])} under topic{chr(97 + c[i])}\n{prose(i, 40)}") for i in range(n)]
+
+    for n in (100, 1500):
+        out = line_templates.drop_lines(spark.createDataFrame(table(n), "doc_id long, text string")).collect()
+        assert len(out) == n and all(r.text == prose(r.doc_id, 40) for r in out)
+
+
 def test__shards__all_rows__contiguous_and_even(docs, empty, rows):
     got = sharding.shard_by_bytes(docs, 4).collect()
     assert len(got) == len(rows) and {r.law for r in got} == {"bytes"}

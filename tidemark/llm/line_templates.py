@@ -1,9 +1,11 @@
 """Line dedup by a fixed-depth tree of line templates.
 
 A line goes down the tree by its number of tokens and its first ``lead`` tokens (tokens with a digit are the wildcard).
-In a leaf, a token that stands at its place in ``least_docs`` documents or more is constant and all others are variable
-fields; a line belongs to the template that its constants make if they are at least ``share`` of its tokens.  That is
-the same whatever the order of lines, so all of it is counting: keys are aggregated before they are shuffled, and no
+In a leaf, a token that stands at its place in ``least_docs`` documents or more can be constant and all others are variable
+fields.  How many documents make it constant has no one answer, as values of a field become frequent in a large leaf, so
+all steps count, each ``STEP`` times the one before: at a step the tokens with as many documents are constant, and a line
+belongs to the template that they make if they are at least ``share`` of its tokens.  A line can thus be of several
+templates, one a step at most, and is dropped if any of them recurs.  That is the same whatever the order of lines, so all of it is counting: keys are aggregated before they are shuffled, and no
 leaf is gathered.  Every token of a line is a place, however long the line is.
 
 A template recurs if lines of it stand in ``least_docs`` documents.  A document most of whose words lie in recurring
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, fresh, join_by_size, small_batches
@@ -26,6 +28,9 @@ from tidemark.llm.text import chunks, mix, powers, prefix, spans, words
 #: Places that one batch of exploded lines holds at most.
 CELLS = 1 << 18
 
+#: Growth of the number of documents that makes a token constant, from step to step.
+STEP = 2
+
 
 def _lines(lead: int, least_tokens: int, places: bool = False):
     """(id, key, text) to one row a line with words: id, key, n_words of the text, line number, tokens, leaf, line.
@@ -144,12 +149,13 @@ def recurring_lines(
     busy = once_shown.join(distinct, ["leaf", "line"])
     cells = cut(busy.mapInArrow(_exploded, "leaf long, line long, place int, token long, docs long"))
     constant = (
-        cells.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}").select("leaf", "place", "token")
+        cells.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}")
+        .select("leaf", "place", "token", F.expr(f"int(floor(log({STEP}, n / {least_docs})))").alias("step"))
     )
     sized = cells.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("places"))
     held = (
-        join_by_size(cells, cut(constant), ["leaf", "place", "token"], "left_semi")
-        .groupBy("leaf", "line")
+        join_by_size(cells, cut(constant), ["leaf", "place", "token"], "inner")
+        .groupBy("leaf", "line", "step")
         # An order-free digest of the constants; two moduli keep whole numbers from overflowing.
         .agg(
             F.count(F.lit(1)).alias("constants"),
@@ -157,6 +163,9 @@ def recurring_lines(
             F.bit_xor(F.expr("xxhash64(token, place, 1)")).alias("t2"),
         )
     )
+    # Constants of a step are those of the later steps too: totals over a line's steps, of which there are few.
+    later = Window.partitionBy("leaf", "line").orderBy(F.desc("step"))
+    held = held.select("leaf", "line", *[F.sum(c).over(later).alias(c) for c in ("constants", "t1")], F.bit_xor("t2").over(later).alias("t2"))
     members = cut(
         held.join(sized, ["leaf", "line"]).where(F.col("constants") >= share * F.col("places"))
         .select("leaf", "line", F.expr("xxhash64(leaf, t1, t2)").alias("template"))
@@ -171,12 +180,13 @@ def recurring_lines(
 
     often = join_by_size(placed, recurring(placed), "template", "left_semi")
     copies = cut(
-        often.groupBy("id", "key").agg(F.sum("tokens").alias("in"), F.first("n_words").alias("n_words"))
+        often.dropDuplicates(["id", "key", "number"]).groupBy("id", "key").agg(F.sum("tokens").alias("in"), F.first("n_words").alias("n_words"))
         .where(F.col("in") > copied * F.col("n_words")).select(F.col("id").alias("c_id"), F.col("key").alias("c_key"))
     )
     same = placed["id"].eqNullSafe(copies["c_id"]) & (placed["key"] == copies["c_key"])
     own = join_by_size(placed, copies, same, "left_anti")
-    return join_by_size(placed, recurring(own), "template", "left_semi").select("id", "key", "number", "template")
+    drops = join_by_size(placed, recurring(own), "template", "left_semi")
+    return drops.groupBy("id", "key", "number").agg(F.min("template").alias("template"))
 
 
 def drop_lines(
