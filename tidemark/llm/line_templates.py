@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, fresh, join_by_size, small_batches
-from tidemark.llm.text import chunks, mix, powers, prefix, spans, words
+from tidemark.llm.text import chunks, mix, spans, words
 
 #: Places that one batch of exploded lines holds at most.
 CELLS = 1 << 18
@@ -44,7 +44,7 @@ def _lines(lead: int, least_tokens: int, places: bool = False):
                 starts, ends, at = words(buf, bounds)
                 if not len(starts):
                     continue
-                hashed = spans(prefix(buf), starts, ends)
+                hashed = spans(buf, starts, ends)
                 digits = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57))))
                 hashed[digits[ends] > digits[starts]] = np.uint64(1)
                 feeds = np.flatnonzero(buf == 10)
@@ -61,9 +61,7 @@ def _lines(lead: int, least_tokens: int, places: bool = False):
                 begin, stop, size, doc, number = (x[ok] for x in (begin, stop, size, doc, number))
                 if not len(begin):
                     continue
-                sums = np.zeros(len(hashed) + 1, np.uint64)
-                np.cumsum(hashed * powers("up", len(hashed)), out=sums[1:])
-                whole = spans(sums, begin, stop)
+                whole = spans(hashed.view(np.uint8), 8 * begin, 8 * stop)
                 leaf = size.astype(np.uint64)
                 for k in range(lead):
                     leaf = mix(leaf * np.uint64(0x9E3779B97F4A7C15) + np.where(size > k, hashed[np.minimum(begin + k, stop - 1)], np.uint64(0)))

@@ -7,12 +7,13 @@ Every string of ``length`` bytes is owned by one anchor inside it, the least has
 at ties).  Equal strings have equal anchors at equal places, so an anchor's hash brings all occurrences of a string
 together.  Consecutive starts with one anchor are a run; its bytes are its context.
 
-1. Runs are dealt by anchor hash.  Runs whose anchor is found once have no match.  A run whose whole context stands
-   earlier has all of its starts matched, and goes on as an interval only.
+1. Runs are dealt by anchor hash, those of the most common anchors by context too.  Runs whose anchor is found once have
+   no match.  A run whose whole context (by a 128-bit hash of its bytes) stands earlier has all of its starts matched, and
+   goes on as an interval only.
 2. What is left, the first run of each different context of a repeated anchor, is gathered into buckets of bounded size.
    There the starts are put into suffix order (to ``length`` bytes, ties by position): a start whose predecessor in that
    order shares all bytes has an earlier match, its previous smaller position.
-3. Anchors with more than ``large`` different contexts are not gathered: hashes of their strings find their first
+3. Common anchors, and those with more than ``large`` different contexts, are not gathered: 128-bit hashes of their strings find their first
    occurrence by aggregation.
 
 Intervals are merged per document and cut out of its bytes.
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, cut, join_by_size, small_batches
-from tidemark.llm.text import chunks, mix, prefix, spans
+from tidemark.llm.text import chunks, mix, windows
 
 _PLACE = 0xFFFFFF  # places in a chunk's low bits; a chunk over 16 MB uses more of them
 
@@ -42,8 +44,8 @@ def owners(buf: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
     if n < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     width = length - gram + 1
-    starts = np.arange(n - gram + 1)
-    hashed = spans(prefix(buf), starts, starts + gram)
+    hashed = windows(buf, gram)
+    starts = np.arange(len(hashed))
     low = _PLACE
     while low < n:
         low = low << 1 | 1
@@ -66,7 +68,7 @@ def owners(buf: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
 
 
 def _runs(length: int, gram: int):
-    """(id, text) to one row a run: id, start, count of starts, anchor hash, context hash, done.
+    """(id, text) to one row a run: id, start, count of starts, anchor hash, 128-bit context hash (c1, c2), done.
 
     What repeats inside a batch is settled there: of runs with equal anchor and context only the earliest goes on, and
     the others, whose starts are all matched, leave as merged intervals (``done``).  Periodic texts and common passages
@@ -79,15 +81,17 @@ def _runs(length: int, gram: int):
             held: list[tuple[np.ndarray, ...]] = []
             for first, _, buf, bounds in chunks(batch.column(1)):
                 text, start, count, anchor = owners(buf, bounds, length, gram)
-                context = mix(spans(prefix(buf), start, start + count - 1 + length) + count.astype(np.uint64))
-                held.append((ids[text + first], start - bounds[text], count, anchor.view(np.int64), context.view(np.int64)))
+                raw = memoryview(np.ascontiguousarray(buf))
+                ends = (start + count - 1 + length).tolist()
+                context = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), ends, strict=True)]), "<i8").reshape(-1, 2)
+                held.append((ids[text + first], start - bounds[text], count, anchor.view(np.int64), context[:, 0], context[:, 1]))
             if not held or not sum(len(x[0]) for x in held):
                 continue
-            key, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((start, key, context, anchor))
-            key, start, count, anchor, context = (x[order] for x in (key, start, count, anchor, context))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.lexsort((columns[1], columns[0], columns[5], columns[4]))
+            key, start, count, anchor, c1, c2 = (x[order] for x in columns)
             new = np.ones(len(key), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+            new[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             done = (key != key[head]) | (start != start[head])
             k, lo, hi = _touching(key[done], start[done], start[done] + count[done] - 1 + length)
@@ -98,11 +102,10 @@ def _runs(length: int, gram: int):
                     pa.array(np.concatenate((key[~done], k))),
                     pa.array(np.concatenate((start[~done], lo))),
                     pa.array(np.concatenate((count[~done], hi - lo - length + 1)).astype(np.int32)),
-                    pa.array(np.concatenate((anchor[~done], own))),
-                    pa.array(np.concatenate((context[~done], own))),
+                    *[pa.array(np.concatenate((x[~done], own))) for x in (anchor, c1, c2)],
                     pa.array(np.arange(n + len(k)) >= n),
                 ],
-                names=["id", "start", "count", "anchor", "context", "done"],
+                names=["id", "start", "count", "anchor", "c1", "c2", "done"],
             )
 
     return run
@@ -216,9 +219,8 @@ def _strings(length: int):
         for batch in batches:
             for key, start, piece in zip(*(batch.column(c).to_pylist() for c in ("id", "start", "bytes")), strict=True):
                 raw = np.frombuffer(piece, np.uint8)
-                n = np.arange(len(raw) - length + 1)
-                one = spans(prefix(raw), n, n + length)
-                two = spans(prefix(raw ^ np.uint8(0xA5)), n, n + length)
+                one, two = windows(raw, length), windows(raw, length, 1)
+                n = np.arange(len(one))
                 yield pa.record_batch(
                     [pa.array(np.full(len(n), key)), pa.array(n + start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
                     names=["id", "start", "s1", "s2"],
@@ -255,6 +257,17 @@ def _released(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Documents looked at for common anchors (one in so many), contexts there that make an anchor common, anchors at most.
+LOOK, COMMON, MOST_COMMON = 32, 256, 1024
+
+
+def _common_anchors(texts: DataFrame, length: int, gram: int, schema: str) -> list[int]:
+    """Anchors in many different contexts among some documents.  Which they are decides on tasks, never on results."""
+    some = texts.where(F.expr(f"pmod(xxhash64(id), {LOOK}) = 0")).mapInArrow(_runs(length, gram), schema).where("NOT done")
+    each = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {COMMON}")
+    return [r.anchor for r in each.orderBy(F.desc("n"), "anchor").limit(MOST_COMMON).collect()]
+
+
 def repeated_intervals(
     docs: DataFrame, length: int = 100, gram: int = 32, bucket_bytes: int = 1 << 22, large: int = 8192,
     id_col: str = "doc_id", text_col: str = "text",
@@ -262,15 +275,19 @@ def repeated_intervals(
     """(id, cuts): for each document with repeated bytes, its merged intervals (lo, hi) in order."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    runs = texts.mapInArrow(_runs(length, gram), "id long, start long, count int, anchor long, context long, done boolean").repartition("anchor")
-    same = W.partitionBy("anchor", "context").orderBy("id", "start")
+    schema = "id long, start long, count int, anchor long, c1 long, c2 long, done boolean"
+    common = F.col("anchor").isin(_common_anchors(texts, length, gram, schema))
+    # An anchor's runs meet in one task, those of a common anchor by context only: it counts as one of many contexts.
+    runs = texts.mapInArrow(_runs(length, gram), schema).withColumn("common", common)
+    runs = runs.withColumn("share", F.when(F.col("common"), F.col("c1")).otherwise(0)).repartition("anchor", "share")
+    same = W.partitionBy("anchor", "share", "c1", "c2").orderBy("id", "start")
     found = (
         runs.withColumn("_first", (F.row_number().over(same) == 1).cast("int"))
         .withColumn("_id0", F.first("id").over(same)).withColumn("_start0", F.first("start").over(same))
-        .withColumn("contexts", F.sum("_first").over(W.partitionBy("anchor")))
+        .withColumn("contexts", F.sum("_first").over(W.partitionBy("anchor", "share")))
         .withColumn("later", F.col("done") | ~((F.col("id") == F.col("_id0")) & (F.col("start") == F.col("_start0"))))
-        .where("later OR contexts > 1")
-        .select("id", "start", "count", "anchor", "later", (F.col("contexts") > large).alias("many"))
+        .where("later OR common OR contexts > 1")
+        .select("id", "start", "count", "anchor", "later", (F.col("common") | (F.col("contexts") > large)).alias("many"))
     )
     found = _released(found)
     known = found.where("later").select("id", F.col("start").alias("lo"), (F.col("start") + F.col("count") - 1 + length).alias("hi"))

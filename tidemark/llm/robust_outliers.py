@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, fresh, join_by_size, small_batches
-from tidemark.llm.text import _SPACE, chunks, prefix, spans, words
+from tidemark.llm.text import _SPACE, chunks, spans, words
 
 WINDOW = 8
 
@@ -82,7 +82,6 @@ def text_counts(buf: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     n = len(bounds) - 1
     starts, ends, first = words(buf, bounds)
     n_words = np.diff(first)
-    sums = prefix(buf)
     space = _SPACE[buf]
     out = {
         "n_words": n_words,
@@ -102,11 +101,11 @@ def text_counts(buf: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     # An empty line at a border starts where the next text does: it has no word anyway.
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, owner = line_starts[worded], line_ends[worded], owner[worded]
-    before, _ = _seen(spans(sums, line_starts, line_ends), owner)
+    before, _ = _seen(spans(buf, line_starts, line_ends), owner)
     out["n_dup_lines"] = np.bincount(owner[before], minlength=n)
     out["n_lines"] = np.bincount(owner, minlength=n)
     # Words in windows found twice or more.
-    hashed = spans(sums, starts, ends)
+    hashed = spans(buf, starts, ends)
     owner = np.repeat(np.arange(n), n_words)
     covered = np.zeros(len(hashed) + 1, np.int64)
     if len(hashed) >= WINDOW:

@@ -11,14 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 21
 
+#: Byte spans over so many bytes are hashed one by one.
+LONG = 256
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SIZED = np.uint64(0xA24BAED4963EE407)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,35 +32,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+def _loads(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one whole number, with zero bytes after the end."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
-_powers: dict[str, np.ndarray] = {}
 
+def _low(words: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The words with only their first ``size`` (1 to 8) bytes."""
+    return words & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * np.asarray(size).astype(np.uint64)))
 
-def powers(kind: str, n: int) -> np.ndarray:
-    """The first ``n`` powers of the base or of its inverse, modulo 2 ** 64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        step = np.full(max(n, CHUNK + 1), _BASE if kind == "up" else _INVERSE, np.uint64)
-        step[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(step)
-    return have[:n]
 
+def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end): equal for equal bytes wherever they stand.
 
-def prefix(buf: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """Sums of byte value times power up to each place; span hashes are differences of two."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(table[buf] * powers("up", len(buf)), out=out[1:])
+    Eight bytes at a time go through a full mixer, for all spans at once; long spans go through XXH3 one by one.
+    """
+    size = ends - starts
+    at = _loads(buf)
+    out = mix(size.astype(np.uint64) * _SIZED)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        if not len(live):
+            break
+        left = size[live] - k
+        out[live] = mix(out[live] ^ _low(at[starts[live] + k], np.minimum(left, 8)))
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
     return out
 
 
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end): equal for equal bytes wherever they stand."""
-    down = powers("down", len(sums))
-    lengths = (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix((sums[ends] - sums[starts]) * down[starts] + lengths)
+def windows(buf: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the ``width`` bytes from each place on, where so many are left."""
+    n = max(0, len(buf) - width + 1)
+    at = np.ascontiguousarray(_loads(buf))
+    out = np.full(n, width + (seed << 32), np.uint64)
+    for k in range(0, width, 8):
+        word = at[k : k + n]
+        out = mix(out ^ (word if width - k >= 8 else _low(word, width - k)))
+    return out
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,7 +115,7 @@ def shingle_sets(
     starts, ends, first = words(buf, bounds)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    hashed = spans(prefix(buf, _LOWER), starts, ends)
+    hashed = spans(_LOWER[buf], starts, ends)
     counts = np.diff(first)
     rolled = hashed * np.uint64(0xC2B2AE3D27D4EB4F)
     for k in range(1, width):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import chunks, prefix, spans
+from tidemark.llm.text import chunks, windows
 
 MAX_LABELLED = 10_000
 
@@ -63,14 +63,12 @@ def grams(parts: pa.Array, bits: int, widths: Sequence[int]) -> tuple[np.ndarray
     """Rows and signed bucket numbers (bucket * 2 + sign) of all n-grams of a batch of strings."""
     rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for first, _, buf, bounds in chunks(parts):
-        sums = prefix(buf)
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         for n in widths:
-            start = np.arange(max(0, len(buf) - n + 1))
-            start = start[owner[start] == owner[start + n - 1]] if len(start) else start
-            hashed = spans(sums, start, start + n)
+            hashed = windows(buf, n)
+            start = np.flatnonzero(owner[: len(hashed)] == owner[n - 1 :]) if len(hashed) else np.zeros(0, np.int64)
             rows.append(owner[start] + first)
-            cells.append(hashed >> np.uint64(63 - bits))
+            cells.append(hashed[start] >> np.uint64(63 - bits))
     return np.concatenate(rows), np.concatenate(cells).astype(np.int64)
 
 
