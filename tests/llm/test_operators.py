@@ -361,3 +361,63 @@ def test__perspectives__masks__cover_own_turns_only(spark):
     assert [a.rendered[s.start : s.end] for s in a.spans] == ["<|end|>\n", "bye<|end|>\n", "bye<|end|>\n"]
     assert "<|user name=user|>\nhi < |end|> there<|end|>\n" in a.rendered
     assert perspectives.rotate(df.limit(0)).count() == 0
+
+
+def plain_mcd(x, floor, core=0.75):
+    """Minimum covariance determinant by many random starts and steps, reweighted, in plain NumPy."""
+    rng, best = np.random.default_rng(0), None
+    n, p = x.shape
+    for _ in range(60):
+        chosen = rng.choice(n, 3 * p, replace=False)
+        for _ in range(15):
+            centre, scatter = x[chosen].mean(0), np.cov(x[chosen].T, bias=True) + np.diag(floor**2)
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            chosen = np.argsort(d)[: int(np.ceil(core * n))]
+        size = np.linalg.slogdet(scatter)[1]
+        if best is None or size < best[0]:
+            best = size, centre, scatter, d
+    _, centre, scatter, d = best
+    good = d / (np.median(d) / robust_outliers.chi_square(0.5, p)) <= robust_outliers.chi_square(0.975, p)
+    raised = 0.975 / robust_outliers.chi_square_share(robust_outliers.chi_square(0.975, p), p + 2)
+    return x[good].mean(0), raised * np.cov(x[good].T, bias=True) + np.diag(floor**2)
+
+
+def test__estimate__contaminated_groups__close_to_plain_mcd(spark):
+    rng = np.random.default_rng(5)
+    p, floor = 4, np.array([0.05, 0.1, 0.05, 0.1])
+    table, data = [], {}
+    for g, shift in ((1, 0.0), (2, 7.0)):
+        mixing = rng.standard_normal((p, p))
+        x = np.concatenate((rng.standard_normal((900, p)) @ mixing.T, 12 + shift + 0.3 * rng.standard_normal((180, p))))
+        data[g] = x, mixing @ mixing.T
+        table += [(g, *map(float, r)) for r in x]
+    table += [(3, *map(float, r)) for r in rng.standard_normal((30, p))]
+    levels = spark.createDataFrame(table, "g long, x0 double, x1 double, x2 double, x3 double").repartition(3)
+    got = {r.g: r for r in robust_outliers.estimate(levels, floor.tolist(), least_rows=100).frame.collect()}
+    assert set(got) == {1, 2}
+    for g, (x, truth) in data.items():
+        centre = np.array([got[g][f"m{i}"] for i in range(p)])
+        w = np.array([[got[g][f"w{max(i, j)}_{min(i, j)}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+        plain, scatter = plain_mcd(x, floor)
+        far = lambda c, s, y=x: np.einsum("ij,jk,ik->i", y - c, np.linalg.inv(s), y - c)
+        ours = np.square((x - centre) @ w.T).sum(1)
+        assert np.abs(np.log(ours / far(plain, scatter)))[:900].max() < 0.5
+        cutoff = robust_outliers.chi_square(0.999, p)
+        assert np.mean((ours > cutoff) == (far(plain, scatter) > cutoff)) > 0.99 and (ours[900:] > cutoff).all()
+        assert abs(np.linalg.slogdet(w.T @ w @ truth)[1]) < 0.5
+
+
+def test__chi_square_share__inverts_quantile():
+    for k in (2, 9, 11):
+        assert robust_outliers.chi_square_share(robust_outliers.chi_square(0.975, k), k) == pytest.approx(0.975, abs=2e-3)
+
+
+def test__minhash__stray_in_a_large_region__only_meets_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "TILE", 8)
+    monkeypatch.setattr(minhash_forest, "BORDER_ROWS", 16)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(i, " ".join(base[:100] + [f"own{i}"] + base[100:])) for i in range(50)]
+    texts += [(60 + i, " ".join(base[: 175 + i] + [f"y{k}" for k in range(25)])) for i in range(3)]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(7), 3, 85, reach=1)
+    want = links({i: shingles(t, 3) for i, t in texts}, 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want

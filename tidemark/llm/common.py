@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.numbering import cut, range_numbered
 
-__all__ = ["BROADCAST_BYTES", "cut", "documents", "fresh", "join_by_size", "may_broadcast", "range_numbered", "small_batches"]
+__all__ = ["BROADCAST_BYTES", "Settled", "cut", "documents", "fresh", "join_by_size", "range_numbered", "settle", "small_batches"]
 
-#: What may be broadcast, and the bytes that a value of no fixed size is taken to have.
-BROADCAST_BYTES, LOOSE_VALUE = 16 << 20, 64
+#: Measured bytes that may be broadcast; a hashed relation takes several times as much.
+BROADCAST_BYTES = 4 << 20
+
+_FIXED = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -38,13 +41,37 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def may_broadcast(df: DataFrame) -> bool:
-    """Whether the counted rows of a frame are within BROADCAST_BYTES."""
-    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
-    rows = BROADCAST_BYTES // sum(fixed.get(kind, LOOSE_VALUE) for _, kind in df.dtypes)
-    return df.limit(rows + 1).count() <= rows
+class Settled(NamedTuple):
+    """A checkpointed frame with what was counted while it was written."""
+
+    frame: DataFrame
+    rows: int
+    bytes: int
+    seen: dict
+
+    @property
+    def side(self) -> DataFrame:
+        """The frame as a side of a join: broadcast if its measured bytes allow it."""
+        return F.broadcast(self.frame) if self.bytes <= BROADCAST_BYTES else self.frame
+
+
+def settle(df: DataFrame, **metrics: Column) -> Settled:
+    """Checkpoint a frame; its rows, its bytes and further aggregates are taken in the same job."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        value = F.col("`" + name.replace("`", "``") + "`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 * F.greatest(F.size(value), F.lit(0))
+        else:
+            size = size + _FIXED.get(kind, 8)
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("_rows"), F.sum(size.cast("long")).alias("_bytes"), *[m.alias(n) for n, m in metrics.items()]))
+    got = seen.get
+    return Settled(out, got["_rows"], got["_bytes"] or 0, got)
 
 
 def join_by_size(left: DataFrame, keys: DataFrame, on: str | Sequence[str] | Column, how: str) -> DataFrame:
-    """Join with a side that is usually small: broadcast it only if its counted rows allow it."""
-    return left.join(F.broadcast(keys) if may_broadcast(keys) else keys, on, how)
+    """Join with a side that is usually small: it is settled, and broadcast only if its measured bytes allow it."""
+    return left.join(settle(keys).side, on, how)

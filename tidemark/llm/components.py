@@ -52,9 +52,8 @@ def components(links: DataFrame) -> DataFrame:
     and minima are taken before the shuffle.
     """
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = cut(edges.mapInArrow(_forest, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    seen = None
-    while True:
+    edges = cut(edges.mapInArrow(_forest, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -64,9 +63,11 @@ def components(links: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-            )
-        seen = now
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label")))).alias("e")).select("e.*").distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with a link up has one only, and none down: then each component is one star around its least node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
+    ups = ends.select("e.*").groupBy("n").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("all"))
+    return not ups.agg(F.max((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("all") > 1)))).first()[0]

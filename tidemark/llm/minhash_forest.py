@@ -5,8 +5,9 @@ its keys: documents next to each other share the longest prefix there.  A region
 ``least_depth`` values.  In a region of up to ``reach + 1`` documents all pairs are candidates, whatever the depth; in a
 larger one depth adapts, and a document's candidates are its next neighbours in the order, which share the longest
 prefixes.  Candidates are confirmed on full sets.  Large regions that these links do not bring into one component are
-then compared in tiles of two blocks, exactly and between different components only, so that no pair that shares a
-region is lost; a tile returns one link for each pair of components.
+then compared in tiles of two blocks, exactly and between different components only: what is outside a region's largest
+component with all of the region.  So no pair that shares a region is lost; a tile returns one link for each pair of
+components.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_by_size, small_batches
+from tidemark.llm.common import cut, join_by_size, settle, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.text import chunks, mix, shingle_sets
 
 #: Documents, and shingle hashes of all of them, in a block of a large region; a tile holds two blocks.
 TILE, TILE_ITEMS = 1024, 1 << 19
 
+#: Border rows of partitions that one task may sort.
+BORDER_ROWS = 1 << 16
+
 #: Shingles whose incidence is held at once in a tile.
 TILE_COLUMNS = 512
 
@@ -174,40 +178,55 @@ def near_duplicates(
         "size",
         "node",
     ).withColumn("region", F.xxhash64("tree", F.substring("key", 1, 4 * least_depth)))
-    large = cut(
+    large = settle(
         rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items")).where(F.col("n") > reach + 1)
-    )
+    ).side
     flags = large.select("region", F.lit(True).alias("large"))
-    flagged = join_by_size(rows, flags, "region", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    flagged = rows.join(flags, "region", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     order = ["tree", "key", "node"]
     sorted_rows = flagged.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "size", "node", "region", "large")
     make = _neighbours(reach, percent)
     schema = "a long, b long, tree int, key binary, size long, region long, large boolean"
     found = cut(sorted_rows.mapInArrow(make, schema))
-    # Rows at the borders of partitions, a few for each partition, meet in one small sorted run.
-    edges = found.where("b IS NULL").select("tree", "key", "size", F.col("a").alias("node"), "region", "large").distinct()
-    border = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(make, schema)
-    pairs = found.where("b IS NOT NULL").unionByName(border.where("b IS NOT NULL")).select("a", "b").distinct()
-    candidates = cut(pairs)
-    nodes = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+    pairs = found.where("b IS NOT NULL").select("a", "b")
+    # Rows at the borders of partitions, at most 2 * reach of each, are sorted runs of their own, until one task holds them.
+    edges, parts = found, found.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-2 * reach * parts // BORDER_ROWS)
+        border = edges.where("b IS NULL").select("tree", "key", "size", F.col("a").alias("node"), "region", "large").distinct()
+        border = border.coalesce(1) if parts == 1 else border.repartitionByRange(parts, *order)
+        edges = cut(border.sortWithinPartitions(*order).mapInArrow(make, schema))
+        pairs = pairs.unionByName(edges.where("b IS NOT NULL").select("a", "b"))
+    candidates = cut(pairs.distinct())
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = cut(_confirm(candidates, _sets_of(texts, nodes, width), percent))
     joined = cut(components(links))
     # Large regions: what their neighbours have not brought into one component is compared in tiles.
-    inside = join_by_size(rows.select("region", "node"), large, "region", "inner").join(joined, "node", "left")
+    inside = rows.select("region", "node", "size").join(large, "region", "left_semi").join(joined, "node", "left")
     inside = inside.withColumn("label", F.coalesce("label", "node"))
-    mixed = cut(
-        inside.groupBy("region")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n"), F.first("items").alias("items"))
-        .where("lo < hi")
-        .select("region", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("items") / TILE_ITEMS)).alias("blocks"))
+
+    def blocks(n: Column, items: Column) -> Column:
+        return F.greatest(F.ceil(n / TILE), F.ceil(items / TILE_ITEMS))
+
+    by_label = inside.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"))
+    mixed = settle(
+        by_label.groupBy("region")
+        .agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "items")).alias("main"), F.sum("n").alias("n"), F.sum("items").alias("items"))
+        .where("labels > 1")
+        .select(
+            "region", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.items")).alias("blocks"),
+            blocks(F.col("n") - F.col("main.n"), F.col("items") - F.col("main.items")).alias("others"),
+        )
     )
-    if mixed.limit(1).count():
-        inside = cut(join_by_size(inside.select("region", "label", "node"), mixed, "region", "inner").select("region", "blocks", "label", "node"))
+    if mixed.rows:
+        inside = cut(inside.drop("size").join(mixed.side, "region"))
         sets = _sets_of(texts, inside.select(F.col("node").alias("id")).distinct(), width)
+        # The largest component needs no pairs of its own: its blocks come after the others' and only meet those.
+        in_main = F.col("label") == F.col("main")
         tiles = (
             inside.join(sets, F.col("node") == F.col("id"))
-            .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-            .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            .withColumn("block", F.when(in_main, F.expr("others + pmod(xxhash64(node), blocks)")).otherwise(F.expr("pmod(xxhash64(node), others)")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1)))
             .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "node", "items")
         )
         more = tiles.groupBy("region", "i", "j").applyInArrow(_tile(percent), "a long, b long")
@@ -226,7 +245,7 @@ def near_duplicates(
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The shingle sets of the documents with these ids."""
-    chosen = join_by_size(texts.where("id IS NOT NULL"), cut(nodes), "id", "left_semi")
+    chosen = join_by_size(texts.where("id IS NOT NULL"), nodes, "id", "left_semi")
     return cut(chosen.mapInArrow(_sets(width), "id long, items array<long>"))
 
 
