@@ -166,6 +166,73 @@ def test__lines__recurring_templates__dropped_elsewhere_not(spark, docs, empty):
     assert line_templates.drop_lines(empty).count() == 0
 
 
+def test__lines__documents__not_their_lines_are_counted(spark):
+    """Lines that recur within few documents, in one leaf, are no templates: eight lines of one document are one document."""
+    word = lambda k: chr(97 + k // 26) + chr(97 + k % 26) * 3
+    own = [(i, "\n".join(f"open the door of {word(10 * i + k)} and {word(300 - k)} here" for k in range(8)) + f"\n{prose(i, 200)}") for i in range(7)]
+    out = line_templates.drop_lines(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert all(r.text == own[r.doc_id][1] for r in out)
+    both = own + [(20 + i, f"open the door of {word(200 + i)} and {word(400 + i)} here\n{prose(i + 50, 200)}") for i in range(3)]
+    out = line_templates.drop_lines(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert all(r.text == dict(both)[r.doc_id].split("\n")[-1] for r in out)
+
+
+def plain_lines(table, least_docs=8, least_tokens=4, lead=3, share=0.6, copied=0.5):
+    """The rules of the operator in plain Python, with tokens in place of their hashes."""
+    lines = []
+    for i, t in sorted({(i, t) for i, t in table if t}):
+        for number, x in enumerate(t.split("\n")):
+            tokens = tuple("0" if re.search("[0-9]", w) else w for w in re.findall("[^\x20\x09-\x0d]+", x))
+            if len(tokens) >= least_tokens:
+                lines.append((i, t, number, tokens))
+    leaf = lambda x: (len(x), x[:lead])
+    seen = defaultdict(set)
+    for i, t, _, x in lines:
+        for place, w in enumerate(x):
+            seen[leaf(x), place, w].add((i, t))
+    templates = {}
+    for x in {x for *_, x in lines}:
+        n = [len(seen[leaf(x), k, w]) for k, w in enumerate(x)]
+        templates[x] = set()
+        for step in range(30):
+            held = tuple((k, w) for k, w in enumerate(x) if n[k] >= least_docs * 2**step)
+            if any(least_docs * 2**step <= c < least_docs * 2 ** (step + 1) for c in n) and len(held) >= share * len(x):
+                templates[x].add((leaf(x), held))
+
+    def often(rows):
+        docs = defaultdict(set)
+        for i, t, _, x in rows:
+            for y in templates[x]:
+                docs[y].add((i, t))
+        return {y for y, d in docs.items() if len(d) >= least_docs}
+
+    first, inside = often(lines), Counter()
+    for i, t, _, x in lines:
+        inside[i, t] += len(x) * bool(templates[x] & first)
+    copies = {k for k, n in inside.items() if n > copied * len(re.findall("[^\x20\x09-\x0d]+", k[1]))}
+    last = often([r for r in lines if r[:2] not in copies])
+    gone = {(i, t, number) for i, t, number, x in lines if templates[x] & last}
+    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone) for i, t in table if t}
+
+
+def test__lines__random_templates__equal_plain_rules(spark):
+    rng = np.random.default_rng(8)
+    forms = ["Posted by {a} in {b} on day 12", "Read more about {a} and {b} in the archive of {c}", "Share this {a} page", "{a} {b} {c} {a} all of one kind"]
+    table = []
+    for i in range(160):
+        parts = []
+        for k in rng.integers(0, 6, int(rng.integers(1, 6))):
+            a, b, c = (WORDS[j] for j in rng.integers(0, len(WORDS), 3))
+            parts.append(forms[k].format(a=a, b=b, c=c) if k < 4 else prose(int(rng.integers(0, 400)), int(rng.integers(3, 30))))
+        table.append((i, "\n".join(parts)))
+    table += [table[5], (400, None), (401, "")]
+    want = plain_lines(table)
+    out = line_templates.drop_lines(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    got, before = {r.doc_id: r.text for r in out if r.text}, dict(table)
+    assert len(out) == len(table) and sum(r._tm_dropped for r in out) > 50
+    assert all(got.get(i, "") == want[i, before[i]] for i in range(160))
+
+
 def test__lines__long_lines__all_places_count(spark, monkeypatch):
     monkeypatch.setattr(line_templates, "CELLS", 50)
     head = prose(1, 34)
@@ -205,27 +272,76 @@ def test__shards__even_rows__sizes_near_target(spark):
     assert {r["sum(size)"] for r in sharding.shard_by_bytes(df).groupBy("shard").sum("size").collect()} == {1250}
 
 
+def deviation(got, period_weights):
+    """The most that a stream is off its weight after any number of slots on target."""
+    slots = {}
+    for r in got:
+        if r.on_target:
+            assert slots.setdefault(r.slot, r.stream) == r.stream
+    assert sorted(slots) == list(range(len(slots)))
+    done, most = Counter(), 0.0
+    for n, slot in enumerate(sorted(slots), 1):
+        done[slots[slot]] += 1
+        most = max(most, *(abs(done[s] - w * n) for s, w in period_weights.items()))
+    return len(slots), most
+
+
+def blocks_of(rows, block_bytes):
+    """Position order within streams and blocks, from sizes alone."""
+    at, out = Counter(), {}
+    for r in sorted(rows, key=lambda r: (r.stream, r.doc_id)):
+        out[r.doc_id] = at[r.stream] // block_bytes
+        at[r.stream] += r.size
+    return out
+
+
 def test__mixing__prefixes__less_than_one_block_off(spark, empty):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x" * 99).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, "b").otherwise("c").alias("source"))
     weights = {"a": 0.5, "b": 0.2, "c": 0.3}
     got = sorted(pfair_mixing.mix_sources(df, weights, block_bytes=1000, period=100).collect(), key=lambda r: r.position)
     assert [r.position for r in got] == list(range(3000))
-    slots = {}
+    number, most = deviation(got, {f"={k}": v for k, v in weights.items()})
+    assert number > 50 and most < 1
+    assert pfair_mixing.mix_sources(empty).count() == 0 and pfair_mixing.mix_sources(empty, weights).count() == 0
+
+
+def test__mixing__many_sources_and_long_documents__weights_hold(spark):
+    """Forty sources with documents of up to three blocks: the given weights hold, the others follow behind."""
+    rows = [(i, "x" * (50 + (i * 37) % 3000), f"s{i % 40:02}") for i in range(4000)]
+    rows += [(5000 + i, "y" * (1 + i % 900), "s39") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sorted(pfair_mixing.mix_sources(df, {"s39": 0.9, "s00": 0.1}, block_bytes=1000).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(8000)) and sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.stream: r.stream_weight for r in got if r.stream_weight} == {"=s39": 0.9, "=s00": 0.1}
+    behind = [r.stream in ("=s39", "=s00") for r in got]
+    assert behind == sorted(behind, reverse=True) and all((r.slot is None) != x for r, x in zip(got, behind, strict=True))
+    blocks = blocks_of(got, 1000)
+    assert all(r.block == blocks[r.doc_id] for r in got)
+    # A block that a long document spans starts no document, so deviation is judged on where blocks lie.
     for r in got:
-        if r.on_target:
-            slots.setdefault(r.slot, r.stream)
-            assert slots[r.slot] == r.stream
-    done = Counter()
-    for n, slot in enumerate(sorted(slots), 1):
-        assert slot == n - 1
-        done[slots[slot]] += 1
-        assert all(abs(done["=" + s] - w * n) < 1 for s, w in weights.items())
-    assert len(slots) > 50 and pfair_mixing.mix_sources(empty).count() == 0
+        if r.slot is not None:
+            c = round(r.stream_weight * 720)
+            assert r.block * 720 // c <= r.slot < -(-(r.block + 1) * 720 // c)
 
 
 def test__mixing__odd_rows__all_kept(docs, rows):
     got = pfair_mixing.mix_sources(docs).collect()
     assert sorted(r.position for r in got) == list(range(len(rows))) and {r.stream for r in got} == {"=a", "=b", "null"}
+    got = pfair_mixing.mix_sources(docs, {None: 1.0}).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows))) and {r.stream for r in got if r.slot is not None} == {"null"}
+    for wrong in ({}, {"a": 0.0}, {"a": -1.0, "b": 2.0}, {"a": float("nan")}, {str(i): 1.0 for i in range(pfair_mixing.MAX_SOURCES + 1)}):
+        with pytest.raises(ValueError):
+            pfair_mixing.mix_sources(docs, wrong)
+    with pytest.raises(ValueError):
+        pfair_mixing.mix_sources(docs, {"a": 1e-9, "b": 1.0})
+
+
+def test__mixing__more_sources_than_streams__share_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mixing, "MAX_SOURCES", 4)
+    df = spark.createDataFrame([(i, "x" * 50, f"s{i % 9 if i % 9 > 3 else i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    got = pfair_mixing.mix_sources(df, block_bytes=500).collect()
+    assert sorted(r.position for r in got) == list(range(900)) and {r.stream for r in got} == {"=s0", "=s1", "=s2", "rest"}
+    assert deviation(got, {r.stream: r.stream_weight for r in got})[1] < 1
 
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -297,11 +413,10 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
@@ -317,7 +432,7 @@ def test__packing__all_pieces__fit_and_round_trip(docs, rows, tokenizer, rule):
         assert sum(p.length for p in pieces) <= 128 and len(pieces) <= 3
         assert len(pieces) == 1 or sum(p.length**2 for p in pieces) <= 9000
     for i, text, *_ in rows:
-        if i in (7, None, 306):
+        if i in (7, None):  # ids that stand for two rows or none
             continue
         ids = np.array([*tokenizer(text or ""), 0], "<u4")
         pieces = sorted(by_doc[i], key=lambda r: r.piece)
@@ -325,18 +440,43 @@ def test__packing__all_pieces__fit_and_round_trip(docs, rows, tokenizer, rule):
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces)
 
 
-def test__packing__added_tokens__as_the_vocabulary_file_has_them(spark, tmp_path):
-    from tokenizers import Tokenizer
-
+def test__packing__query__ids_as_the_vocabulary_file_gives_them(spark, tmp_path, tokenizer):
     from tidemark.llm import queries
 
-    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", " <|endoftext| >", "no such token"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", " <|endoftext| >", "no such token", "", None, "z " * 30_000, "é\u2028🙂\r\n\t  x1234's", "y" * 20_000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op8_vector_packing(spark, str(tmp_path)).collect()}
+    got = defaultdict(list)
+    for r in queries.op8_vector_packing(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
     for i, text in enumerate(texts):
-        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
-        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+        ids = np.array([*tokenizer(text or ""), 0], "<u4")
+        pieces = sorted(got[i], key=lambda r: r.piece)
+        assert [p.start for p in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))] and sum(p.length for p in pieces) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test__best_fit__each_choice__is_the_best_open_bin(rule):
+    """Every piece goes to the bin that a plain search over all bins so far would choose; all three constraints bind."""
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.integers(1, 90, 400))[::-1]
+    capacity, weights = (128.0, 5.0, 7000.0), (1.0, 0.3, 0.2)
+    bins, offsets = vector_packing.best_fit(lengths, capacity, weights, rule)
+    full, scale = np.array(capacity), np.array(weights)
+    left, why = [], Counter()
+    for n, at, offset in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        need = np.array([n, 1, n * n])
+        fits = [k for k, have in enumerate(left) if (have >= need).all()]
+        for have in left:
+            why.update(np.flatnonzero(have < need).tolist())
+        if not fits:
+            assert at == len(left) and offset == 0
+            left.append(full.copy())
+        else:
+            score = lambda k, need=need: float(scale @ ((left[k] - need) / full) ** 2) if rule == "norm" else -float((scale * need / full) @ (left[k] / full))
+            assert at in fits and score(at) <= min(map(score, fits)) + 1e-12 and offset == full[0] - left[at][0]
+        left[at] = left[at] - need
+    assert set(why) == {0, 1, 2}
 
 
 def test__packing__no_constraints__near_lower_bound(docs, empty):
@@ -348,18 +488,22 @@ def test__packing__no_constraints__near_lower_bound(docs, empty):
 
 def test__perspectives__masks__cover_own_turns_only(spark):
     table = [(1, 0, "system", "be kind"), (1, 2, "user", "hi <|end|> there"), (1, 1, "assistant", None), (1, 3, "assistant", "bye"), (2, 0, None, "é"), (2, None, "bob", "x")]
-    table += [(3, i, "ab"[i % 2], f"m{i}") for i in range(300)] + [(None, 0, "a", "q"), (1, 3, "assistant", "bye")]
+    table += [(3, i, "ab"[i % 2], f"m{i}") for i in range(300)] + [(None, 0, "a", "q"), (1, 3, "assistant", "bye"), (4, 0, "system", "alone")]
+    table += [(5, i, "ab"[i % 2] if i != 200 else "c", f"n{i}") for i in range(201)]
     df = spark.createDataFrame([(*r, 1) for r in table], "conv_id long, turn long, role string, text string, part int")
     got = perspectives.rotate(df).collect()
-    assert {(r.conv_id, r.part, r.participant) for r in got if r.conv_id != 3} == {(1, 0, "system"), (1, 0, "user"), (1, 0, "assistant"), (2, 0, "bob"), (2, 0, "unknown"), (None, 0, "a")}
+    assert {(r.conv_id, r.part, r.participant) for r in got if r.conv_id not in (3, 5)} == {(1, 0, "user"), (1, 0, "assistant"), (2, 0, "bob"), (2, 0, "unknown"), (None, 0, "a")}
     assert sum(r.n_turns for r in got if r.conv_id == 3) == 600 and max(r.part for r in got if r.conv_id == 3) == 2
+    late = sorted((r for r in got if (r.conv_id, r.participant) == (5, "c")), key=lambda r: r.part)
+    assert [r.n_turns for r in late] == [128, 73] and [r.n_masked_turns for r in late] == [0, 1]
+    assert all(f"<|user name={'ab'[i % 2]}|>\nn{i}<|end|>\n" in late[i // 128].rendered for i in range(200))
     for r in got:
         own = [r.rendered[s.start : s.end] for s in r.spans]
         assert r.n_masked_turns == len(own) and all(x.endswith("<|end|>\n") and x.count("<|") == 1 for x in own)
         assert r.rendered.count("<|assistant|>") == len(own)
     a = next(r for r in got if (r.conv_id, r.participant) == (1, "assistant"))
     assert [a.rendered[s.start : s.end] for s in a.spans] == ["<|end|>\n", "bye<|end|>\n", "bye<|end|>\n"]
-    assert "<|user name=user|>\nhi < |end|> there<|end|>\n" in a.rendered
+    assert a.rendered.startswith("<|system|>\nbe kind<|end|>\n") and "<|user name=user|>\nhi < |end|> there<|end|>\n" in a.rendered
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 

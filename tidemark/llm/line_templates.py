@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh, join_by_size, small_batches
+from tidemark.llm.common import cut, fresh, join_by_size, settle, small_batches
 from tidemark.llm.text import chunks, mix, spans, words
 
 #: Places that one batch of exploded lines holds at most.
@@ -68,9 +68,9 @@ def _lines(lead: int, least_tokens: int, places: bool = False):
                 if places:
                     offsets = np.concatenate(([0], np.cumsum(size)))
                     flat = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
-                    cells = (hashed[flat] >> np.uint64(32)).astype("<u4")
+                    cells = hashed[flat].astype("<u8")
                     packed = pa.Array.from_buffers(
-                        pa.binary(), len(size), [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())]
+                        pa.binary(), len(size), [None, pa.py_buffer((offsets * 8).astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())]
                     )
                     yield pa.record_batch(
                         [pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), packed], names=["leaf", "line", "places"]
@@ -94,25 +94,19 @@ def _lines(lead: int, least_tokens: int, places: bool = False):
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, line, docs, places) to one row a place: leaf, line, place, token, docs."""
+    """Rows with the tokens of a line (last column) to one row a place: the other columns, place, token."""
     for batch in batches:
-        texts = batch.column("places").to_pylist()
-        count = np.array([len(x) // 4 for x in texts], np.int64)
-        offsets = np.concatenate(([0], np.cumsum(count)))
-        tokens = np.frombuffer(b"".join(texts), "<u4")
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 8 for x in texts], dtype=np.int64)))
+        tokens = np.frombuffer(b"".join(texts), "<i8")
+        names = batch.schema.names[:-1]
         for low in range(0, len(tokens), CELLS):
             at = np.arange(low, min(low + CELLS, len(tokens)))
             row = np.searchsorted(offsets, at, "right") - 1
             take = pa.array(row)
             yield pa.record_batch(
-                [
-                    batch.column("leaf").take(take),
-                    batch.column("line").take(take),
-                    pa.array((at - offsets[row]).astype(np.int32)),
-                    pa.array(tokens[at].astype(np.int64)),
-                    batch.column("docs").take(take),
-                ],
-                names=["leaf", "line", "place", "token", "docs"],
+                [*[batch.column(n).take(take) for n in names], pa.array((at - offsets[row]).astype(np.int32)), pa.array(tokens[at])],
+                names=[*names, "place", "token"],
             )
 
 
@@ -137,23 +131,33 @@ def recurring_lines(
             "id long, key long, n_words long, number int, tokens long, leaf long, line long",
         )
     )
-    # Distinct lines of each leaf with the documents they stand in; then leaves that stand in enough documents.
-    once = lines.select("leaf", "line", "id", "key").distinct()
-    distinct = cut(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
-    leaves = cut(distinct.groupBy("leaf").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}").select("leaf"))
+    # Each document's distinct lines of each leaf: their number, and one of them that stands for the document.
+    mine = Window.partitionBy("leaf", "id", "key")
+    once = cut(
+        lines.select("leaf", "line", "id", "key", "tokens").repartition("leaf", "id", "key").distinct()
+        .withColumn("several", F.count(F.lit(1)).over(mine) > 1).withColumn("first", F.row_number().over(mine.orderBy("line")) == 1)
+    )
+    leaves = settle(once.where("first").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least_docs}").select("leaf")).side
+    once = once.join(leaves, "leaf", "left_semi")
+    distinct = once.groupBy("leaf", "line").agg(F.count_if(~F.col("several")).alias("docs"), F.first("tokens").alias("places"))
     # Tokens are found anew for lines of these leaves only: those of all lines are about as large as the texts.
     shown = texts.mapInArrow(_lines(lead, least_tokens, places=True), "leaf long, line long, places binary")
-    once_shown = join_by_size(shown, leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("places").alias("places"))
-    busy = once_shown.join(distinct, ["leaf", "line"])
-    cells = cut(busy.mapInArrow(_exploded, "leaf long, line long, place int, token long, docs long"))
+    shown = cut(shown.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("places").alias("tokens")))
+    cells = cut(
+        distinct.join(shown, ["leaf", "line"]).select("leaf", "line", "docs", "places", "tokens")
+        .mapInArrow(_exploded, "leaf long, line long, docs long, places long, place int, token long")
+    )
+    # Documents with one line in a leaf are counted by line; those with several, each token once.
+    repeated = once.where("several").drop("tokens").join(shown, ["leaf", "line"]).select("leaf", "id", "key", "tokens")
+    repeated = repeated.mapInArrow(_exploded, "leaf long, id long, key long, place int, token long").distinct()
+    counted = cells.select("leaf", "place", "token", "docs").unionByName(repeated.select("leaf", "place", "token", F.lit(1).cast("long").alias("docs")))
     constant = (
-        cells.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}")
+        counted.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(f"n >= {least_docs}")
         .select("leaf", "place", "token", F.expr(f"int(floor(log({STEP}, n / {least_docs})))").alias("step"))
     )
-    sized = cells.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("places"))
     held = (
-        join_by_size(cells, cut(constant), ["leaf", "place", "token"], "inner")
-        .groupBy("leaf", "line", "step")
+        join_by_size(cells, constant, ["leaf", "place", "token"], "inner")
+        .groupBy("leaf", "line", "places", "step")
         # An order-free digest of the constants; two moduli keep whole numbers from overflowing.
         .agg(
             F.count(F.lit(1)).alias("constants"),
@@ -163,26 +167,26 @@ def recurring_lines(
     )
     # Constants of a step are those of the later steps too: totals over a line's steps, of which there are few.
     later = Window.partitionBy("leaf", "line").orderBy(F.desc("step"))
-    held = held.select("leaf", "line", *[F.sum(c).over(later).alias(c) for c in ("constants", "t1")], F.bit_xor("t2").over(later).alias("t2"))
-    members = cut(
-        held.join(sized, ["leaf", "line"]).where(F.col("constants") >= share * F.col("places"))
+    held = held.select("leaf", "line", "places", *[F.sum(c).over(later).alias(c) for c in ("constants", "t1")], F.bit_xor("t2").over(later).alias("t2"))
+    members = (
+        held.where(F.col("constants") >= share * F.col("places"))
         .select("leaf", "line", F.expr("xxhash64(leaf, t1, t2)").alias("template"))
     )
     placed = cut(join_by_size(lines, members, ["leaf", "line"], "inner"))
 
     def recurring(rows: DataFrame) -> DataFrame:
-        return cut(
+        return (
             rows.select("template", "id", "key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"))
             .where(f"n >= {least_docs}").select("template")
         )
 
     often = join_by_size(placed, recurring(placed), "template", "left_semi")
-    copies = cut(
+    copies = settle(
         often.dropDuplicates(["id", "key", "number"]).groupBy("id", "key").agg(F.sum("tokens").alias("in"), F.first("n_words").alias("n_words"))
         .where(F.col("in") > copied * F.col("n_words")).select(F.col("id").alias("c_id"), F.col("key").alias("c_key"))
     )
-    same = placed["id"].eqNullSafe(copies["c_id"]) & (placed["key"] == copies["c_key"])
-    own = join_by_size(placed, copies, same, "left_anti")
+    same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key"))
+    own = placed.join(copies.side, same, "left_anti")
     drops = join_by_size(placed, recurring(own), "template", "left_semi")
     return drops.groupBy("id", "key", "number").agg(F.min("template").alias("template"))
 
@@ -197,7 +201,7 @@ def drop_lines(
     such lines are unchanged to the byte.  An empty table gives no rows.
     """
     key, crc, lost, own = fresh(docs, "_tm_id", "_tm_key", "_tm_drop", "_tm_text")
-    drops = cut(
+    drops = (
         recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
         .groupBy("id", "key").agg(F.collect_set("number").alias(lost))
         .select(F.col("id").alias(key), F.col("key").alias(crc), lost)

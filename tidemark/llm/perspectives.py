@@ -1,10 +1,11 @@
 """Multi-party perspective rotation of dialogues.
 
 A dialogue is rendered once for every participant: that speaker's turns become ``assistant``, all others stay users with
-their names, and the mask is one on what the assistant says and its end mark.  Turns follow (turn, role, text).  Long
-dialogues are cut into parts of ``max_turns`` consecutive turns, so no row grows without bound; every part is rendered
-for each speaker of the part.  The place of a turn comes from a global numbering, so a dialogue of any length is spread
-over tasks until its parts are formed.
+their names, and the mask is one on what the assistant says and its end mark.  Turns of the role ``system`` are
+instructions: they stay so in every perspective and are nobody's.  Turns follow (turn, role, text).  Long dialogues are cut
+into parts of ``max_turns`` consecutive turns, so no row grows without bound; every participant of the dialogue gets every
+part, with its own turns there or not.  The place of a turn comes from a global numbering, so a dialogue of any length is
+spread over tasks until its parts are formed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import range_numbered
+from tidemark.llm.common import cut, range_numbered, settle
+
+#: The role whose turns are instructions and not a participant's.
+SYSTEM = "system"
 
 
 def rotate(
@@ -29,7 +33,8 @@ def rotate(
     its end mark.  ``<|`` in texts and names is written ``< |``, so no text can forge a mark.
 
     Nulls: a null text is empty; a null role is the participant ``unknown``; a null turn comes first; rows of a null
-    dialogue are one dialogue.  Repeated rows are said twice.  An empty table gives no rows; other columns are ignored.
+    dialogue are one dialogue.  Repeated rows are said twice.  A dialogue of system turns only has no participant and no
+    rows, nor has an empty table; other columns are ignored.
     """
     safe = "replace({}, '<|', '< |')"
     rows = conversations.select(
@@ -41,18 +46,18 @@ def rotate(
     placed = range_numbered(rows, ["turn", "role", "text"], by=["conv_id"]).withColumn(
         "part", F.expr(f"index div {max_turns}")
     )
-    parts = placed.groupBy("conv_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct("index", "role", "text"))).alias("turns"),
-        F.sort_array(F.collect_set("role")).alias("speakers"),
-    )
-    each = parts.withColumn("participant", F.explode("speakers"))
+    placed = cut(placed)
+    parts = placed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("index", "role", "text"))).alias("turns"))
+    speakers = placed.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("role").alias("participant")).distinct()
+    each = parts.join(settle(speakers).side, F.col("conv_id").eqNullSafe(F.col("_conv")))
     name = safe.format("t.role")
     each = each.withColumn(
         "pieces",
         F.expr(
             f"""
             transform(turns, t -> named_struct(
-              'head', CASE WHEN t.role = participant THEN '<|assistant|>\\n'
+              'head', CASE WHEN t.role = '{SYSTEM}' THEN '<|system|>\\n'
+                           WHEN t.role = participant THEN '<|assistant|>\\n'
                            ELSE concat('<|user name=', {name}, '|>\\n') END,
               'body', concat({safe.format("t.text")}, '<|end|>\\n'),
               'own', t.role = participant))

@@ -17,7 +17,7 @@ from tidemark.llm.pfair_mixing import mix_sources
 from tidemark.llm.robust_outliers import quality
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.url_model import judge_urls
-from tidemark.llm.vector_packing import added_tokens, pack_documents
+from tidemark.llm.vector_packing import pack_documents
 
 #: Host and path rules of the URL query.
 URL_RULES = [
@@ -69,8 +69,7 @@ def op7_longest_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks, vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
-    return pack_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, length=2048, added=added_tokens(vocabulary))
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, length=2048)
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,19 +93,18 @@ WITH t AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS LAST, text) - 1 AS place
   FROM conversations
-), p AS (SELECT *, place // 128 AS part FROM t),
-s AS (SELECT DISTINCT conv_id, part, role AS participant FROM p),
+), s AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
 m AS (
-  SELECT p.conv_id, p.part, s.participant, p.place, p.role = s.participant AS own,
-         CASE WHEN p.role = s.participant THEN '<|assistant|>' || chr(10)
-              ELSE '<|user name=' || replace(p.role, '<|', '< |') || '|>' || chr(10) END AS head,
-         replace(p.text, '<|', '< |') || '<|end|>' || chr(10) AS body
-  FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.part = s.part
+  SELECT t.conv_id, t.place // 128 AS part, s.participant, t.place, t.role = s.participant AS own,
+         CASE WHEN t.role = 'system' THEN '<|system|>' || chr(10) WHEN t.role = s.participant THEN '<|assistant|>' || chr(10)
+              ELSE '<|user name=' || replace(t.role, '<|', '< |') || '|>' || chr(10) END AS head,
+         replace(t.text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), e AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, participant ORDER BY place) AS stop FROM m
 )
 SELECT conv_id, part::BIGINT AS part, participant, string_agg(head || body, '' ORDER BY place) AS rendered,
-       string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY place) AS masked,
+       coalesce(string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY place), '') AS masked,
        count(*)::BIGINT AS n_turns, (count(*) FILTER (own))::BIGINT AS n_masked_turns
 FROM e GROUP BY conv_id, part, participant
 """

@@ -6,21 +6,28 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh, join_by_size
+from tidemark.llm.common import fresh, join_by_size
 from tidemark.llm.line_templates import drop_lines
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
 from tidemark.llm.robust_outliers import keep_quality
-from tidemark.llm.vector_packing import added_tokens, pack_documents
+from tidemark.llm.vector_packing import pack_documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers."""
+    """Documents that pass the base rules and are no outliers.
+
+    A null or empty text has no words and goes; a null language or source is a value of its own.  Repeated rows (id and
+    text) go or stay together.  No rows give no rows.
+    """
     return keep_quality(docs)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; ``n_chars`` follows the text where lines went."""
+    """Texts without recurring lines; ``n_chars`` follows the text where lines went.
+
+    Every row stays: null and empty texts as they are, repeated rows alike, and a text of recurring lines only is empty.
+    """
     (count,) = fresh(docs, "_tm_dropped")
     out = drop_lines(docs, dropped_col=count)
     if "n_chars" in docs.columns:
@@ -30,16 +37,23 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates (five words, similarity 0.8)."""
+    """One document, the one with the smallest id, of each group of near-duplicates (five words, similarity 0.8).
+
+    Rows without words or without an id have no duplicates and stay; repeated rows of the smallest id all stay.
+    """
     (key,) = fresh(docs, "_tm_id")
     gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    return join_by_size(docs, cut(gone), F.col("doc_id") == F.col(key), "left_anti")
+    return join_by_size(docs, gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the mixed order: files and rows in files follow the position."""
+    """All documents, laid out in the mixed order: files and rows in files follow the position.
+
+    A null source is a source of its own, a null text has no bytes, and repeated rows stand together at the first one's
+    place.  No rows give no rows.
+    """
     key, crc, at, own = fresh(docs, "_tm_id", "_tm_crc", "_tm_at", "_tm_text")
-    positions = cut(
+    positions = (
         mix_sources(docs).groupBy("doc_id", "text_crc32").agg(F.min("position").alias(at))
         .select(F.col("doc_id").alias(key), F.col("text_crc32").alias(crc), at)
     )
@@ -61,9 +75,12 @@ def _laid_out(docs: DataFrame, name: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their sequence and offset; sequences are numbered along the mixed order."""
+    """Pieces of the mixed documents with their sequence and offset; sequences are numbered along the mixed order.
+
+    A null text has the end id only; every row is packed, repeated ones and those without an id too.
+    """
     import public_tokenizers
 
     (at,) = fresh(docs, "_tm_place")
-    ranks, vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
-    return pack_documents(_laid_out(docs, at), ranks, public_tokenizers.PATTERN, length=2048, order_col=at, added=added_tokens(vocabulary))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(_laid_out(docs, at), vocabulary, public_tokenizers.PATTERN, length=2048, order_col=at)

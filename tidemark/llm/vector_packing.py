@@ -12,10 +12,9 @@ are numbered along it, in a group by their earliest piece: a sequence is at most
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +24,36 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, range_numbered, small_batches
 
 
-def added_tokens(json_path: str) -> dict[str, int]:
-    """The added tokens of a ``tokenizers`` file, which it finds inside texts.  Only those matched as they stand are known here."""
-    with open(json_path, encoding="utf-8") as f:
-        added = json.load(f)["added_tokens"]
-    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
-        raise ValueError(f"added tokens of {json_path} are not matched as they stand")
-    return {t["content"]: t["id"] for t in added}
+def encoder(vocabulary: str, pattern: str):
+    """The byte-level BPE of a ``tokenizers`` file: its tokens, merges and added tokens, run by ``tiktoken``.
 
-
-def encoder(ranks_path: str, pattern: str, added: Mapping[str, int] | None = None):
-    """Byte-level BPE from a ranks file; strings of ``added`` become their ids, all else is ordinary text."""
+    ``pattern`` is what the file's byte-level pre-tokenizer splits texts by.  Files that do more than that (a normalizer,
+    merges out of the order of ids, added tokens that are not matched as they stand) raise ValueError.
+    """
     import tiktoken
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    found = {t: i for t, i in (added or {}).items() if ranks.get(t.encode()) != i}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=found)
+    with open(vocabulary, encoding="utf-8") as f:
+        file = json.load(f)
+    # Byte-level files write each byte as a printable character: printable ones as they are, the rest from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added}
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"]]
+    ids = [file["model"]["vocab"][a + b] for a, b in merges]
+    loose = any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in file["added_tokens"])
+    if loose or file["normalizer"] or file["pre_tokenizer"].get("add_prefix_space") or file["model"].get("dropout") or ids != sorted(ids):
+        raise ValueError(f"{vocabulary} is more than merges and added tokens")
+    encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return lambda text: encoding.encode(text, allowed_special="all")
 
 
-def _pieces(ranks_path: str, pattern: str, length: int, end_id: int, added: Mapping[str, int] | None):
+def _pieces(vocabulary: str, pattern: str, length: int, end_id: int):
     """(id, text, at) batches to one row a piece: id, piece, start, length, ids_crc32, at.  The first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern, added)
+        encode = encoder(vocabulary, pattern)
         for batch in batches:
             out: list[tuple[int | None, int, int, int, int, int | None]] = []
             for key, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -107,7 +111,7 @@ def best_fit(
 
 def pack_documents(
     docs: DataFrame,
-    ranks_path: str,
+    vocabulary: str,
     pattern: str,
     length: int = 2048,
     end_id: int = 0,
@@ -119,11 +123,11 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     order_col: str | None = None,
-    added: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``added`` are the tokens that a text's string becomes as one id, see ``added_tokens``.  ``order_col`` is a whole-number column; sequence ids then rise along it, group after group.
+    ``vocabulary`` and ``pattern`` are those of ``encoder``.  ``order_col`` is a whole-number column; sequence ids then rise
+    along it, group after group.
 
     Without ``max_documents`` and ``max_attention`` those capacities bind no packing that fits by tokens.  A full-length
     piece is a sequence of its own and takes one document and its own attention cost, whatever the capacities.
@@ -137,7 +141,7 @@ def pack_documents(
         docs.select(
             F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(order_col) if order_col else F.lit(None)).cast("long").alias("at")
         ).mapInArrow(
-            _pieces(ranks_path, pattern, length, end_id, added),
+            _pieces(vocabulary, pattern, length, end_id),
             "id long, piece int, start long, length long, ids_crc32 long, at long",
         )
     )
