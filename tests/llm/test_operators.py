@@ -150,6 +150,25 @@ def test__vectors__small_table__equals_all_pairs(spark):
     for a, b in np.argwhere(near):
         assert component[good[a][0]] == component[good[b][0]] <= min(good[a][0], good[b][0])
     assert collision_projections.near_vectors(df.limit(0)).count() == 0
+
+
+def test__vectors__ids_shared_by_other_vectors__linked_by_their_own(spark):
+    table = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.001]), (7, [1.0, 0.002]), (8, [2.0, 0.0])]
+    got = collision_projections.near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 0, 5), (5, 3, 5), (6, 3, 5), (7, 3, 5), (8, 3, 5)]
+
+
+def test__vectors__intervals__as_all_pairs_of_ranges(spark):
+    rng = np.random.default_rng(4)
+    edges = np.sort(rng.standard_normal(41))
+    table = [(2, k, float(edges[k]), float(edges[k + 1])) for k in range(40)] + [(3, 0, 0.0, 0.0)]
+    got = {(r.dim, r.block): (r.first, r.last) for r in collision_projections._intervals(spark.createDataFrame(table, "dim int, block long, lo double, hi double"), 0.2).collect()}
+    for d, k, lo, hi in table:
+        near = [j for e, j, low, high in table if e == d and low <= hi + 0.2 and lo <= high + 0.2]
+        assert got[d, k] == (min(near), max(near)) and near == list(range(min(near), max(near) + 1))
+
+
+def test__calibrate__known_law__count():
     assert collision_projections.calibrate(0.95, 2.5, 24, 0.99999) == 19
 
 
@@ -362,14 +381,30 @@ def test__urls__rules_and_odd_forms__longest_wins(spark):
     assert all(url_model.split_url(u) == (h, p) for _, u, h, p, *_ in table)
 
 
-def test__urls__held_out__accurate():
-    every = url_model.default_labelled()
-    train, test = [x for i, x in enumerate(every) if i % 4], [x for i, x in enumerate(every) if not i % 4]
-    w, b = url_model.fit(train)
-    hosts, paths = zip(*(url_model.split_url(u) for u, _ in test), strict=True)
-    said = url_model._scores(url_model._marked(hosts, paths), w, b, 14, (3, 4, 5)) >= 0
-    truth = np.array([y for _, y in test], bool)
-    assert np.mean(said == truth) > 0.8 and np.mean(said[~truth]) < 0.1
+def test__urls__held_out_hosts__few_errors():
+    """Four folds by registered name, so no host is in both parts; both kinds of error are bounded."""
+    every = url_model.labelled_urls()
+    name = lambda u: url_model.split_url(u)[0].removeprefix("www.").split(".")[0]
+    names = sorted({name(u) for u, _ in every}, key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    blocked, missed, wanted, unwanted = 0, 0, 0, 0
+    for fold in range(4):
+        held = set(names[fold::4])
+        w, b = url_model.fit([x for x in every if name(x[0]) not in held])
+        test = [x for x in every if name(x[0]) in held]
+        hosts, paths = zip(*(url_model.split_url(u) for u, _ in test), strict=True)
+        said = url_model._scores(url_model._marked(hosts, paths), w, b, 14, (3, 4, 5)) >= 0
+        truth = np.array([y for _, y in test], bool)
+        blocked, missed = blocked + int((said & ~truth).sum()), missed + int((~said & truth).sum())
+        wanted, unwanted = wanted + int((~truth).sum()), unwanted + int(truth.sum())
+    print(f"wanted blocked {blocked}/{wanted}, unwanted let through {missed}/{unwanted}")
+    assert blocked / wanted < 0.12 and missed / unwanted < 0.25
+
+
+def test__urls__labelled_table__is_a_parameter():
+    w, b = url_model.fit([("http://good.example/a", 0), ("http://bad.example/b", 1)])
+    hosts, paths = ["good.example", "bad.example"], ["/a", "/b"]
+    low, high = url_model._scores(url_model._marked(hosts, paths), w, b, 14, (3, 4, 5))
+    assert low < 0 < high
     with pytest.raises(ValueError):
         url_model.fit([("http://a/", 0)] * (url_model.MAX_LABELLED + 1))
 

@@ -5,10 +5,11 @@ Every vector is scaled to length one and projected on ``projections`` random nor
 query holds the other with a known chance; the least number of windows that must hold a pair is calibrated from the
 binomial law to a recall of ``recall``.  Pairs that reach it are verified in double precision.
 
-Vectors are sorted by their first projection and cut into blocks of about ``block_rows``.  A tile is a query block and a
-data block; tiles whose ranges lie further apart than ``reach`` spreads on the first projection (a chance under 1e-6 for
-a linked pair) are never formed.  Counting and verification run inside a tile, strip by strip, in bounded memory; a tile
-returns link counts and a spanning forest of its links, never all pairs.  Equal vectors are one row with a weight.
+Vectors are sorted by their first projection and cut into blocks of ``block_rows``.  The blocks whose ranges lie within
+``reach`` spreads of a block's (beyond it a linked pair has a chance under 1e-6) are an interval of block numbers, found
+by running extremes over the sorted ranges.  A tile is two blocks of such an interval.  In a tile windows are counted
+query strip by query strip in bounded memory; a tile returns link counts and a spanning forest of its links, never all
+pairs.  Equal vectors are one row with a weight, whatever their ids.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from math import comb, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, range_numbered
 from tidemark.llm.components import components
 
-_STRIP = 256
+#: Queries counted at a time, projections counted for all pairs before the few that can still pass go on alone.
+_STRIP, _DENSE = 64, 20
 
 
 def calibrate(least: float, window: float, projections: int, recall: float) -> int:
@@ -87,20 +89,28 @@ def _tile(least: float, window: float, projections: int, need: int):
         shadow = unit @ directions(unit.shape[1], projections)
         half = window * sqrt(2 - 2 * least)
         # Projections as steps of a window's half over 64, so a window is an integer interval; one step is added for rounding.
-        steps = np.clip(np.rint(shadow / half * 64), -32000, 32000).astype(np.int16)
+        steps = np.clip(np.rint(shadow / half * 64), -16000, 16000).astype(np.int16)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         left, right = left[np.argsort(shadow[left, 0])], right[np.argsort(shadow[right, 0])]
         count = np.zeros(len(node), np.int64)
         a, b = [], []
         across = np.ascontiguousarray(steps[right].T)
+        dense = min(_DENSE, projections)
+        gap, inside, hits = (np.empty((_STRIP, len(right)), t) for t in (np.int16, np.bool_, np.uint8))
         for first in range(0, len(left), _STRIP):
             query = left[first : first + _STRIP]
-            hits = np.zeros((len(query), len(right)), np.uint8)
-            for k in range(projections):
-                hits += np.abs(steps[query, k][:, None] - across[k][None, :]) <= 65
-                if k + 1 >= need // 2 and not (hits.max(initial=0) + projections - k - 1 >= need):
-                    break
-            x, y = np.nonzero(hits >= need)
+            n = len(query)
+            hits[:n] = 0
+            for k in range(dense):
+                np.subtract(steps[query, k][:, None] + np.int16(65), across[k][None, :], out=gap[:n])
+                np.less_equal(gap[:n].view(np.uint16), 130, out=inside[:n])
+                np.add(hits[:n], inside[:n].view(np.uint8), out=hits[:n])
+            x, y = np.nonzero(hits[:n] >= need - (projections - dense))
+            had = hits[x, y]
+            for k in range(dense, projections):
+                had = had + (np.abs(steps[query[x], k] - across[k][y]) <= 65)
+                still = had >= need - (projections - 1 - k)
+                x, y, had = x[still], y[still], had[still]
             x, y = query[x], right[y]
             if i == j:
                 x, y = x[x < y], y[x < y]
@@ -143,7 +153,7 @@ def near_vectors(
     window: float = 2.5,
     recall: float = 0.99999,
     reach: float = 5.0,
-    block_rows: int = 2048,
+    block_rows: int = 8192,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -151,6 +161,8 @@ def near_vectors(
 
     ``window`` counts spreads of a pair at cosine ``least``.  Vectors of different lengths are never compared.
 
+    Equal vectors are one class whatever their ids, and rows that share an id with other vectors are each linked by their own.
+
     Nulls: vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; a row with a
     null id cannot be named and is alone, kept, with no links.  Repeated rows are vectors of their own: each links with
     the others.  An empty table gives no rows; other columns are ignored.
@@ -161,30 +173,26 @@ def near_vectors(
     prepared = cut(rows.mapInArrow(_prepare(projections), schema))
     usable = F.coalesce(F.col("dim") > 0, F.lit(False)) & F.col("id").isNotNull()
     classes = prepared.where(usable).groupBy("dim", "d1", "d2").agg(
-        F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.first("at").alias("at")
+        F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.first("at").alias("at")
     )
-    placed = range_numbered(classes, ["at", "node"], by=["dim"]).withColumn("block", F.expr(f"index div {block_rows}"))
-    placed = cut(placed.select("dim", "node", "weight", "unit", "at", "block", "d1", "d2"))
-    ranges = placed.groupBy("dim", "block").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    ranges = cut(ranges)
-    other = ranges.select(F.col("dim").alias("dim_2"), F.col("block").alias("block_2"), F.col("lo").alias("lo_2"), F.col("hi").alias("hi_2"))
-    gap = reach * sqrt(2 - 2 * least)
-    near = ranges.join(
-        other, (F.col("dim") == F.col("dim_2")) & (F.col("lo") <= F.col("hi_2") + gap) & (F.col("lo_2") <= F.col("hi") + gap)
-    ).groupBy("dim", "block").agg(F.collect_list("block_2").alias("others"))
+    placed = range_numbered(classes, ["at", "d1", "d2"], by=["dim"]).withColumn("block", F.expr(f"index div {block_rows}"))
+    # A class is named by its place, not by an id, which other vectors may have too.
+    placed = cut(placed.select("dim", F.monotonically_increasing_id().alias("node"), "low", "weight", "unit", "at", "block", "d1", "d2"))
+    ranges = cut(placed.groupBy("dim", "block").agg(F.min("at").alias("lo"), F.max("at").alias("hi")))
+    near = _intervals(ranges, reach * sqrt(2 - 2 * least))
     tiles = (
         placed.join(near, ["dim", "block"])
-        .withColumn("other", F.explode("others"))
+        .withColumn("other", F.explode(F.sequence("first", "last")))
         .select("dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "unit")
     )
     found = cut(
         tiles.groupBy("dim", "i", "j").applyInArrow(_tile(least, window, projections, need), "a long, b long, w long")
     )
-    joined = components(found.where("b IS NOT NULL").select("a", "b"))
+    joined = cut(components(found.where("b IS NOT NULL").select("a", "b")))
     sums = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
-    labelled = placed.join(sums, "node", "left").join(joined, "node", "left").select(
-        "dim", "d1", "d2", (F.coalesce("w", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("component_id")
-    )
+    labelled = placed.select("dim", "d1", "d2", "node", "low", "weight").join(sums, "node", "left").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    labelled = labelled.join(lowest, "label").select("dim", "d1", "d2", (F.coalesce("w", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = prepared.where(usable).select("id", "dim", "d1", "d2").join(labelled, ["dim", "d1", "d2"]).select("id", "n_links", "component_id")
     out = out.unionByName(
         prepared.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
@@ -192,3 +200,18 @@ def near_vectors(
     return out.select(
         F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def _intervals(ranges: DataFrame, gap: float) -> DataFrame:
+    """Sorted ranges (dim, block, lo, hi) to the interval of blocks (first, last) within ``gap`` of each, by two running extremes."""
+    mark = F.lit(None).cast("long")
+    ahead = ranges.select("dim", F.col("lo").alias("v"), F.col("block").alias("seen"), mark.alias("block")).unionByName(
+        ranges.select("dim", (F.col("hi") + gap).alias("v"), mark.alias("seen"), "block")
+    )
+    behind = ranges.select("dim", (-F.col("hi")).alias("v"), F.col("block").alias("seen"), mark.alias("block")).unionByName(
+        ranges.select("dim", (gap - F.col("lo")).alias("v"), mark.alias("seen"), "block")
+    )
+    run = Window.partitionBy("dim").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = ahead.withColumn("last", F.max("seen").over(run)).where("block IS NOT NULL").select("dim", "block", "last")
+    first = behind.withColumn("first", F.min("seen").over(run)).where("block IS NOT NULL").select("dim", "block", "first")
+    return last.join(first, ["dim", "block"])

@@ -7,6 +7,7 @@ weights, so what goes to the executors has a fixed size.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,34 +18,15 @@ from tidemark.llm.text import chunks, windows
 
 MAX_LABELLED = 10_000
 
-# Words of hosts and paths for the default labelled table.
-UNWANTED = (
-    "spam cheap pills casino poker adult xxx porn viagra bonus jackpot bets slots escort singles free money win "
-    "payday loans replica watches click ads tracker malware warez torrent crack keygen farm scam lottery winner"
-).split()
-WANTED = (
-    "news library science history garden music school travel kitchen weather museum health books energy forum docs "
-    "wiki research theatre river mountain market village painting letters planet bridge harbour archive journal"
-).split()
-
-
-def default_labelled() -> list[tuple[str, int]]:
-    """URLs with 1 for unwanted, 0 for wanted, made by rule from the two word lists and neutral invented names."""
-    out = []
-    ends = ("com", "net", "org")
-    for label, names in ((1, UNWANTED), (0, WANTED)):
-        for i, name in enumerate(names):
-            a, b, c = (names[(i * m + k) % len(names)] for m, k in ((7, 3), (11, 5), (13, 9)))
-            hosts = (name, f"www.{name}-{a}", f"{name}{a}", f"m.{name}-{b}", f"{c}-{name}", f"blog.{b}{name}", f"the-{name}", f"www.{name}{c}")
-            for k, host in enumerate(hosts):
-                out.append((f"https://{host}.{('example.' if k % 2 else '') + ends[(i + k) % 3]}/{('en', 'de', 'fr', 'es')[(i + k) % 4]}/{(i * 37 + k) % 1000}", label))
-            out.append((f"http://site{i}.example.{ends[i % 3]}/{name}/{a}.html", label))
-    parts = "th er in on an re ti es or te ed is it al ar st nd to nt ng".split()
-    for i in range(240):  # invented names without meaning are wanted
-        name = "".join(parts[(i * a + b) % len(parts)] for a, b in ((3, 1), (7, i // 20), (11, 5)))
-        sub = ("", "www.", "m.", "blog.")[i % 4]
-        out.append((f"https://{sub}{name}.example.{ends[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{i * 13 % 1000}", 0))
-    return out
+#: The table that is used where no other is given: a label (1 unwanted, 0 wanted) and a url a line.
+TABLE = Path(__file__).with_name("labelled_urls.tsv")
+
+
+def labelled_urls(path: str | Path = TABLE) -> list[tuple[str, int]]:
+    """URLs with 1 for unwanted and 0 for wanted, from a file of tab-separated lines; ``#`` starts a comment."""
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if line.strip() and not line.startswith("#")]
+    return [(url, int(label)) for label, url in rows]
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -85,9 +67,12 @@ def _scores(marked: pa.Array, weights: np.ndarray, bias: float, bits: int, width
 
 
 def fit(
-    labelled: Sequence[tuple[str, int]], bits: int = 14, widths: Sequence[int] = (3, 4, 5), penalty: float = 1e-5, steps: int = 1000
+    labelled: Sequence[tuple[str, int]], bits: int = 14, widths: Sequence[int] = (3, 4, 5), penalty: float = 1e-4, steps: int = 600, care: float = 0.85
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient steps with momentum on the penalised log-likelihood; classes weigh the same."""
+    """Weights and bias by gradient steps with momentum on the penalised log-likelihood.
+
+    ``care`` is the weight of all wanted urls together, the unwanted have the rest: above one half, doubt means allow.
+    """
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"at most {MAX_LABELLED} labelled URLs")
     hosts, paths = zip(*(split_url(u) for u, _ in labelled), strict=True)
@@ -95,7 +80,7 @@ def fit(
     rows, cells = grams(_marked(hosts, paths), bits, widths)
     value = (1.0 - 2.0 * (cells & 1)) / np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))[rows]
     column = cells >> 1
-    each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    each = np.where(y > 0, (1 - care) / max(y.sum(), 1), care / max((1 - y).sum(), 1))
     w, b, move, drift = np.zeros(1 << bits), 0.0, np.zeros(1 << bits), 0.0
     for _ in range(steps):
         z = b + np.bincount(rows, w[column] * value, minlength=len(y))
@@ -118,6 +103,8 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score.
 
+    ``labelled`` are (url, 1 for unwanted or 0 for wanted), at most ``MAX_LABELLED``; without it ``TABLE`` is read.
+
     ``rules`` are (host, path, verdict), few enough for one expression; the longest that fits decides.  Else the verdict
     is ``block`` where the model's probability reaches ``threshold``.
 
@@ -125,7 +112,7 @@ def judge_urls(
     as the model has nothing to judge.  Repeated rows get the same answer; an empty table gives none; other columns are
     ignored.
     """
-    weights, bias = fit(default_labelled() if labelled is None else labelled, bits, widths)
+    weights, bias = fit(labelled_urls() if labelled is None else labelled, bits, widths)
     rest = F.expr(f"substring({_quoted(url_col)}, instr({_quoted(url_col)}, '://') + 3)")
     has = F.coalesce(F.expr(f"instr({_quoted(url_col)}, '://') > 0"), F.lit(False))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
