@@ -427,8 +427,10 @@ def removed(table, length=100):
     return out
 
 
-@pytest.mark.parametrize("large", [8192, 2])
-def test__repeats__small_table__equals_brute_force(spark, large):
+@pytest.mark.parametrize(("large", "common"), [(8192, 256), (2, 256), (8192, 3)])
+def test__repeats__small_table__equals_brute_force(spark, monkeypatch, large, common):
+    monkeypatch.setattr(longest_previous, "LOOK", 1)
+    monkeypatch.setattr(longest_previous, "COMMON", common)
     shared = prose(77, 60)
     table = [(i, prose(i, 30) + " " + shared[i % 7 : 250 + i] + " " + prose(i + 50, 30)) for i in range(30)]
     table += [(40, "ab" * 400), (41, "ab" * 300 + prose(2)), (42, "z" * 99), (43, None), (44, ""), (45, "é" * 150), (46, "é" * 150 + "x"), (None, shared * 2), (47, shared * 3)]

@@ -8,7 +8,7 @@ at ties).  Equal strings have equal anchors at equal places, so an anchor's hash
 together.  Consecutive starts with one anchor are a run; its bytes are its context.
 
 1. Runs are dealt by anchor hash, those of the most common anchors by context too.  Runs whose anchor is found once have
-   no match.  A run whose whole context (by a 128-bit hash of its bytes) stands earlier has all of its starts matched, and
+   no match.  A run whose whole context (by a 96-bit hash of its bytes) stands earlier has all of its starts matched, and
    goes on as an interval only.
 2. What is left, the first run of each different context of a repeated anchor, is gathered into buckets of bounded size.
    There the starts are put into suffix order (to ``length`` bytes, ties by position): a start whose predecessor in that
@@ -68,7 +68,7 @@ def owners(buf: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
 
 
 def _runs(length: int, gram: int):
-    """(id, text) to one row a run: id, start, count of starts, anchor hash, 128-bit context hash (c1, c2), done.
+    """(id, text) to one row a run: id, start, 2 * count of starts + done, anchor hash, 96-bit context hash (c1, c2).
 
     What repeats inside a batch is settled there: of runs with equal anchor and context only the earliest goes on, and
     the others, whose starts are all matched, leave as merged intervals (``done``).  Periodic texts and common passages
@@ -84,7 +84,7 @@ def _runs(length: int, gram: int):
                 raw = memoryview(np.ascontiguousarray(buf))
                 ends = (start + count - 1 + length).tolist()
                 context = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), ends, strict=True)]), "<i8").reshape(-1, 2)
-                held.append((ids[text + first], start - bounds[text], count, anchor.view(np.int64), context[:, 0], context[:, 1]))
+                held.append((ids[text + first], start - bounds[text], count, anchor.view(np.int64), context[:, 0], context[:, 1].astype(np.int32)))
             if not held or not sum(len(x[0]) for x in held):
                 continue
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -101,11 +101,10 @@ def _runs(length: int, gram: int):
                 [
                     pa.array(np.concatenate((key[~done], k))),
                     pa.array(np.concatenate((start[~done], lo))),
-                    pa.array(np.concatenate((count[~done], hi - lo - length + 1)).astype(np.int32)),
-                    *[pa.array(np.concatenate((x[~done], own))) for x in (anchor, c1, c2)],
-                    pa.array(np.arange(n + len(k)) >= n),
+                    pa.array(2 * np.concatenate((count[~done], hi - lo - length + 1)) + (np.arange(n + len(k)) >= n)),
+                    *[pa.array(np.concatenate((x[~done], own.astype(x.dtype)))) for x in (anchor, c1, c2)],
                 ],
-                names=["id", "start", "count", "anchor", "c1", "c2", "done"],
+                names=["id", "start", "counted", "anchor", "c1", "c2"],
             )
 
     return run
@@ -263,7 +262,7 @@ LOOK, COMMON, MOST_COMMON = 32, 256, 1024
 
 def _common_anchors(texts: DataFrame, length: int, gram: int, schema: str) -> list[int]:
     """Anchors in many different contexts among some documents.  Which they are decides on tasks, never on results."""
-    some = texts.where(F.expr(f"pmod(xxhash64(id), {LOOK}) = 0")).mapInArrow(_runs(length, gram), schema).where("NOT done")
+    some = texts.where(F.expr(f"pmod(xxhash64(id), {LOOK}) = 0")).mapInArrow(_runs(length, gram), schema).where("counted % 2 = 0")
     each = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {COMMON}")
     return [r.anchor for r in each.orderBy(F.desc("n"), "anchor").limit(MOST_COMMON).collect()]
 
@@ -275,19 +274,23 @@ def repeated_intervals(
     """(id, cuts): for each document with repeated bytes, its merged intervals (lo, hi) in order."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    schema = "id long, start long, count int, anchor long, c1 long, c2 long, done boolean"
-    common = F.col("anchor").isin(_common_anchors(texts, length, gram, schema))
+    schema = "id long, start long, counted long, anchor long, c1 long, c2 int"
+    runs = texts.mapInArrow(_runs(length, gram), schema)
     # An anchor's runs meet in one task, those of a common anchor by context only: it counts as one of many contexts.
-    runs = texts.mapInArrow(_runs(length, gram), schema).withColumn("common", common)
-    runs = runs.withColumn("share", F.when(F.col("common"), F.col("c1")).otherwise(0)).repartition("anchor", "share")
-    same = W.partitionBy("anchor", "share", "c1", "c2").orderBy("id", "start")
+    frequent = _common_anchors(texts, length, gram, schema)
+    common, by = F.lit(False), ["anchor"]
+    if frequent:
+        common, by = F.col("anchor").isin(frequent), ["anchor", "share"]
+        runs = runs.withColumn("share", F.when(common, F.col("c1")).otherwise(F.col("anchor")))
+    runs = runs.repartition(*by)
+    same = W.partitionBy(*by, "c1", "c2").orderBy("id", "start")
     found = (
         runs.withColumn("_first", (F.row_number().over(same) == 1).cast("int"))
         .withColumn("_id0", F.first("id").over(same)).withColumn("_start0", F.first("start").over(same))
-        .withColumn("contexts", F.sum("_first").over(W.partitionBy("anchor", "share")))
-        .withColumn("later", F.col("done") | ~((F.col("id") == F.col("_id0")) & (F.col("start") == F.col("_start0"))))
-        .where("later OR common OR contexts > 1")
-        .select("id", "start", "count", "anchor", "later", (F.col("common") | (F.col("contexts") > large)).alias("many"))
+        .withColumn("contexts", F.sum("_first").over(W.partitionBy(*by)))
+        .withColumn("later", F.expr("counted % 2 = 1") | ~((F.col("id") == F.col("_id0")) & (F.col("start") == F.col("_start0"))))
+        .where(F.col("later") | common | (F.col("contexts") > 1))
+        .select("id", "start", F.expr("counted div 2").alias("count"), "anchor", "later", (common | (F.col("contexts") > large)).alias("many"))
     )
     found = _released(found)
     known = found.where("later").select("id", F.col("start").alias("lo"), (F.col("start") + F.col("count") - 1 + length).alias("hi"))
