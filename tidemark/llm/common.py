@@ -73,5 +73,8 @@ def settle(df: DataFrame, **metrics: Column) -> Settled:
 
 
 def join_by_size(left: DataFrame, keys: DataFrame, on: str | Sequence[str] | Column, how: str) -> DataFrame:
-    """Join with a side that is usually small: it is settled, and broadcast only if its measured bytes allow it."""
+    """Join with a side that grows slower than the corpus: it is settled, and broadcast only if its measured bytes allow it.
+
+    Sides with a row per document are joined plainly, so that plans are alike at every size.
+    """
     return left.join(settle(keys).side, on, how)

@@ -208,7 +208,7 @@ def drop_lines(
     )
     found = docs.withColumn(own, F.xxhash64(F.col(text_col)))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(crc))
-    both = join_by_size(found, drops, same, "left")
+    both = found.join(drops, same, "left")
     name = "`" + text_col.replace("`", "``") + "`"
     cleaned = F.expr(
         f"array_join(transform(filter(transform(split({name}, '\\n', -1), (x, i) -> named_struct('x', x, 'i', i)), "

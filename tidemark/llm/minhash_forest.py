@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_by_size, settle, small_batches
+from tidemark.llm.common import cut, settle, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.text import chunks, mix, shingle_sets
 
@@ -245,7 +245,7 @@ def near_duplicates(
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The shingle sets of the documents with these ids."""
-    chosen = join_by_size(texts.where("id IS NOT NULL"), nodes, "id", "left_semi")
+    chosen = texts.where("id IS NOT NULL").join(nodes, "id", "left_semi")
     return cut(chosen.mapInArrow(_sets(width), "id long, items array<long>"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Settled, cut, fresh, join_by_size, settle, small_batches
+from tidemark.llm.common import Settled, cut, fresh, settle, small_batches
 from tidemark.llm.text import _SPACE, chunks, spans, words
 
 WINDOW = 8
@@ -395,4 +395,4 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = judged.where("NOT kept").select(F.col("doc_id").alias(key), F.col("text_key").alias(crc)).distinct()
     found = docs.withColumn(own, F.xxhash64(F.col(text_col)))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(crc))
-    return join_by_size(found, gone, same, "left_anti").drop(own)
+    return found.join(gone, same, "left_anti").drop(own)

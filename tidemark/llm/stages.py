@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, join_by_size
+from tidemark.llm.common import fresh
 from tidemark.llm.line_templates import drop_lines
 from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.pfair_mixing import mix_sources
@@ -43,7 +43,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     (key,) = fresh(docs, "_tm_id")
     gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    return join_by_size(docs, gone, F.col("doc_id") == F.col(key), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     )
     found = docs.withColumn(own, F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(crc))
-    placed = join_by_size(found, positions, same, "inner")
+    placed = found.join(positions, same)
     return placed.repartitionByRange(at).sortWithinPartitions(at).select(docs.columns)
 
 
