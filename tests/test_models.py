@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 import tidemark.models.builtin  # noqa: F401
-from tidemark.models.base import SearchSpace, build, config_id, register_model
+from tidemark.models.base import Draws, Grid, build, config_id, register_model
 from tidemark.models.harness import Trial, plan, select_best, to_frame
 from tidemark.operators.metrics import evaluate
 from tidemark.query import PredictiveQuery
@@ -53,13 +53,20 @@ def test__facade__tuned__selects_finite_best(query):
     assert query.trials[0].selected and query.trials[0].val["roc_auc"] is not None
 
 
-def test__spaces__default_first__budget_cuts():
-    space = SearchSpace({"a": 1}, {"a": [1, 2, 3]})
-    assert space.configs(2, 5)[0] == {"a": 1} and len(space.configs(9)) == 3
-    with pytest.raises(ValueError):
-        SearchSpace({}, {"a": [1]}, [{}])
+def test__spaces__budgets__draws_on_top_and_grids_in_order():
+    space = Draws({"a": 1, "b": 0}, a=[1, 2, 3], b=(0.01, 1.0))
+    tried = space.within(5, seed=3)
+    assert tried == space.within(5, seed=3) != space.within(5, seed=4) and len(tried) == 6 and tried[0] == {"a": 1, "b": 0}
+    assert all(c["a"] in (1, 2, 3) and 0.01 <= c["b"] <= 1 for c in tried[1:])
+    assert Draws({"a": 1}).within(9) == [{"a": 1}]
+    grid = Grid({"a": 3}, {"a": 1}, {"a": 2}, default={"a": 1})
+    assert grid.within(3) == [{"a": 3}, {"a": 1}, {"a": 2}] and [t for t, _ in grid.tagged(3)] == ["r0", "default", "r2"]
+    with pytest.warns(UserWarning):
+        assert grid.within(2) == [{"a": 3}, {"a": 1}]
     with pytest.warns(UserWarning):
-        SearchSpace({"a": 9}, fixed_grid=[{"a": 1}])
+        Grid({"a": 1}, default={"a": 9})
+    with pytest.raises(ValueError):
+        Grid()
     assert [t for t, _ in plan("dfs-gbt", 3)] == ["default", "r1", "r2"]
     assert config_id({"a": 1, "b": 2}) == config_id({"b": 2, "a": 1})
 

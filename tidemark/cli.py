@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 from tidemark.models import harness
 from tidemark.models.base import model_names
 from tidemark.operators import temporal
-from tidemark.models.warm import warm
 from tidemark.query import PredictiveQuery
 from tidemark.sources.cache import CacheConfig
 from tidemark.sources.export import write_results
@@ -31,14 +30,14 @@ def find_tasks(folder: str | Path, kinds: Sequence[str] | None = None) -> dict[s
     return out
 
 
-def run_task(spark: SparkSession, spec: QuerySpec, model: str, n_trials: int, seed: int, test: bool) -> harness.Summary:
+def run_task(spark: SparkSession, spec: QuerySpec, model: str, n_trials: int, seed: int, test: bool, cache_dir: str | None = None) -> harness.Summary:
     q = PredictiveQuery(spark, spec)
     d, task = spec.database, spec.task
-    train, val = q.labels()
+    train, val = q.labels(cache_dir)
     target = q.compute_test_labels() if test else None
     inner = temporal.inner_split(q.db, task.entity_table, task.entity_col, train, val, d.val_timestamp, task.target_col)
     outer = temporal.outer_split(q.db, task.entity_table, task.entity_col, train, val, target if test else val.limit(0), d.test_timestamp, task.target_col)
-    return harness.run_experiment(model, d.name, task, inner, outer, target, n_trials, seed)
+    return harness.run_experiment(model, d.name, task, inner, outer, target, n_trials, seed, cache=CacheConfig(cache_dir))
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -64,9 +63,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     for name, path in tasks.items():
         for model in a.model or ["dfs-gbt"]:
             try:
-                if a.cache_dir:
-                    warm(spark, QuerySpec.from_yaml(path, a.data_dir), CacheConfig(a.cache_dir))
-                done.append(run_task(spark, QuerySpec.from_yaml(path, a.data_dir), model, a.n_trials, a.seed, not a.no_test))
+                done.append(run_task(spark, QuerySpec.from_yaml(path, a.data_dir), model, a.n_trials, a.seed, not a.no_test, a.cache_dir))
             except Exception as e:  # noqa: BLE001  one task's failure must not end the others
                 failed += 1
                 print(f"{name} {model}: {type(e).__name__}: {e}")

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import quoted
-from tidemark.models.base import Model, SearchSpace, register_model
+from tidemark.models.base import Draws, Grid, Model, register_model
 from tidemark.models.constants import constant_scores, entity_scores
+from tidemark.models.matrices import cached_features
 from tidemark.operators import dfs
 from tidemark.operators.features import FeaturePipeline, entity_features
 from tidemark.operators.numbering import cut
@@ -52,7 +53,10 @@ class Boosted(Model):
         options = dict(
             labelCol="y", featuresCol="features", seed=seed, maxIter=int(self.config.get("rounds", 20)), maxDepth=int(self.config.get("depth", 4)),
             stepSize=float(self.config.get("rate", 0.1)), subsamplingRate=float(self.config.get("rows", 1.0)), maxBins=int(self.config.get("bins", 64)),
+            minInstancesPerNode=int(self.config.get("least", 1)), minInfoGain=float(self.config.get("gain", 0.0)),
         )
+        if "held" in frame.columns:  # rounds stop where the held rows' loss does
+            options["validationIndicatorCol"] = "held"
         tree = GBTClassifier(**options) if task.kind == "binary_classification" else GBTRegressor(lossType="absolute", **options)
         ready = self._plain(frame).withColumn("y", F.col(quoted(task.target_col)).cast("double"))
         return Pipeline(stages=[*stages, tree]).fit(ready)
@@ -72,8 +76,13 @@ class Boosted(Model):
     def fit(self, task, db, train, val=None, *, seed=0, time_limit=None):
         train = _numbered(train, task)
         self._prepare(task, db, train)
-        chosen = self._context(task, train, seed)
-        frame, numbers, names = self._features(task, db, chosen)
+        chosen = self._context(task, train, seed).withColumn("held", F.lit(False))
+        if val is not None:
+            chosen = chosen.unionByName(_numbered(val, task).select(train.columns).withColumn("held", F.lit(True)))
+        chosen = cut(chosen)
+        frame, numbers, names = self._features(task, db, chosen.drop("held"))
+        if val is not None:
+            frame = frame.join(chosen.select("row_id", "held"), "row_id")
         self._constant = frame.select(task.target_col).distinct().limit(2).count() < 2
         self._train = train
         if not self._constant:
@@ -107,7 +116,7 @@ def _split(frame: DataFrame, task: TaskSpec, names: list[str]) -> tuple[list[str
     return [c for c, k in frame.dtypes if k == "double" and c not in skip and c not in names], names
 
 
-@register_model("gbt", SearchSpace({"rounds": 20, "depth": 4}, {"rounds": [10, 20, 40], "depth": [2, 4, 6], "rate": [0.05, 0.1, 0.2]}))
+@register_model("gbt", Draws({"rounds": 20, "depth": 4}, rounds=[10, 20, 40], depth=[2, 4, 6], rate=(0.03, 0.3), rows=[0.6, 0.8, 1.0], bins=[32, 64, 128], least=[1, 5, 20], gain=[0.0, 0.001]))
 class EntityBoosted(Boosted):
     """Entity attributes only."""
 
@@ -119,7 +128,7 @@ class EntityBoosted(Boosted):
         return frame, numbers, names
 
 
-@register_model("dfs-gbt", SearchSpace({"max_depth": 2}, fixed_grid=[{"max_depth": d} for d in (2, 3, 4)]))
+@register_model("dfs-gbt", Grid(*({"max_depth": d} for d in (2, 3, 4))))
 class AggregateBoosted(Boosted):
     """Multi-hop features with label history, calendar and lags; a context strategy bounds the training rows."""
 
@@ -142,7 +151,9 @@ class AggregateBoosted(Boosted):
     def _features(self, task, db, rows):
         target = rows.select("row_id", F.col(task.target_col).cast("double").alias("_y")) if task.target_col in rows.columns else None
         base = rows.drop(task.target_col)
-        matrix = dfs.features(base, db, task.entity_table, task.entity_col, task.time_col, int(self.config.get("max_depth", 2)), self._history, task.target_col)
+        depth = int(self.config.get("max_depth", 2))
+        keys = [task.time_col, task.entity_col]
+        matrix = base.join(cached_features(base.sparkSession, self.cache, db, task, base, self._history, max(depth, self.deepest or 0), depth), keys, "left")
         matrix = self._pipeline.transform(db, matrix)
         keyed = matrix.withColumn("_id", F.col("row_id"))
         frame, names = dfs.finished(keyed, task.entity_col, task.time_col)

@@ -1,72 +1,30 @@
-"""Feature matrices kept on disk: computed once at the greatest depth, sliced for shallower ones."""
+"""Cache warmers: the matrices that a fit will ask for, computed ahead."""
 
 from __future__ import annotations
 
-import hashlib
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tidemark.functions.columns import quoted
-from tidemark.operators import dfs, temporal
-from tidemark.operators.fingerprint import schema_fingerprint, table_checksum, task_fingerprint
+from tidemark.models.matrices import cached_features, check_rows
+from tidemark.operators import temporal
 from tidemark.query import PredictiveQuery
-from tidemark.sources.cache import CacheConfig, cached_artifact, matrix_key
-from tidemark.sources.schema import QuerySpec, RelDatabase, TaskSpec
-
-
-def check_rows(matrix: DataFrame, anchors: DataFrame) -> None:
-    """A matrix has one row per anchor."""
-    if (n := matrix.count()) != (m := anchors.count()):
-        raise ValueError(f"{n} matrix rows for {m} anchors")
-
-
-def cached_features(
-    spark: SparkSession, config: CacheConfig, dataset: str, db: RelDatabase, task: TaskSpec, anchors: DataFrame, phase: str,
-    history: DataFrame | None = None, max_depth: int = 4, depth: int | None = None,
-) -> DataFrame:
-    """Features of the anchors up to ``depth``, from the kept matrix of ``max_depth``.
-
-    The place of a matrix follows from schema, task, phase, depth, and checksums of the anchors (without their target)
-    and of the history; checksums are taken only where something is kept.
-    """
-    keys = [task.time_col, task.entity_col]
-    plain = anchors.select(*[quoted(k) for k in keys])
-
-    def compute() -> DataFrame:
-        out = dfs.features(plain, db, task.entity_table, task.entity_col, task.time_col, max_depth, history, task.target_col)
-        return out.toDF(*[_stored(c) for c in out.columns])
-
-    key = ""
-    if config.root is not None:
-        past = table_checksum(history, keys) if history is not None else None
-        key = matrix_key(f"{dataset}@{schema_fingerprint(db)}", f"{task.name}@{task_fingerprint(task)}", phase, table_checksum(plain, keys), past, max_depth)
-    found = cached_artifact(spark, config, key, compute, hint="warm the cache first")
-    names = dfs.depths(dfs.with_history(db, history, task.entity_table, task.entity_col, task.time_col) if history is not None else db, task.entity_table, max_depth)
-    back = {_stored(n): n for n in names}
-    matrix = found.toDF(*[back.get(c, c) for c in found.columns])
-    return matrix if depth is None or depth >= max_depth else dfs.at_depth(matrix, names, depth)
-
-
-def _stored(name: str) -> str:
-    """A column name that any Parquet reader takes."""
-    if not set(name) & set(" ,;{}()\n\t="):
-        return name
-    return "f_" + hashlib.sha1(name.encode()).hexdigest()[:16]
+from tidemark.sources.cache import CacheConfig
+from tidemark.sources.schema import QuerySpec
 
 
-def warm(spark: SparkSession, spec: QuerySpec, config: CacheConfig, max_depth: int = 2) -> list[str]:
-    """Fill the cache for the inner split and for the outer one with train, and with train and validation, as history."""
+def warm(spark: SparkSession, spec: QuerySpec, config: CacheConfig, max_depth: int = 4) -> list[str]:
+    """Fill the cache for the tuning split and for the final fit, as ``dfs-gbt`` reads them with a grid ``max_depth`` deep."""
     q = PredictiveQuery(spark, spec)
     d, task = spec.database, spec.task
-    train, val = q.labels()
+    train, val = q.labels(config.root)
     inner = temporal.inner_split(q.db, task.entity_table, task.entity_col, train, val, d.val_timestamp, task.target_col)
     outer = temporal.outer_split(q.db, task.entity_table, task.entity_col, train, val, val, d.test_timestamp, task.target_col)
-    both = temporal.concat_labels(outer.train, outer.val)
+    full = temporal.concat_labels(outer.train, outer.val)
+    past = [task.time_col, task.entity_col, task.target_col]
+    tried = inner.train.select(past).unionByName(inner.target.select(past))
     done = []
     for phase, split, anchors, history in (
-        ("inner-train", inner, inner.train, inner.train), ("inner-val", inner, inner.eval, inner.train),
-        ("outer-train", outer, outer.train, outer.train), ("outer-full", outer, both, both),
+        ("tuning", inner, tried, inner.train), ("validation", inner, inner.eval, inner.train), ("final", outer, full, full),
     ):
-        check_rows(cached_features(spark, config, d.name, split.db, task, anchors, phase, history, max_depth), anchors)
+        check_rows(cached_features(spark, config, split.db, task, anchors, history.select(past), max_depth), anchors)
         done.append(phase)
     return done

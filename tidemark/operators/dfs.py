@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import calendar, epoch_ns, quoted, temporal_diff, typed_columns
+from tidemark.operators.numbering import cut
 from tidemark.plans.dfs_plan import Node, aggregates, column_name, depths, plan
 from tidemark.sources.schema import RelDatabase, RelTable
 
@@ -68,9 +69,13 @@ def _own(db: RelDatabase, node: Node, rows: DataFrame) -> DataFrame:
 def _reach(db: RelDatabase, node: Node, out: DataFrame) -> DataFrame:
     """Add parents' and children's features to rows with ``_key``, ``_at`` and the ``_fk_`` columns."""
     wanted = {f.name for f in node.features()}
+    base = out  # keys are taken from here, not from what is joined on
+    asked = base.select("_key", "_at").distinct()
+    if len(node.children) > 1:
+        asked = cut(asked)
     for column, parent in node.parents:
         via = parent.table if sum(n.table == parent.table for _, n in node.parents) == 1 else f"{parent.table}[{column}]"
-        keys = out.select(F.col(quoted(f"_fk_{column}")).alias("_key"), "_at").where("_key IS NOT NULL").distinct()
+        keys = base.select(F.col(quoted(f"_fk_{column}")).alias("_key"), "_at").where("_key IS NOT NULL").distinct()
         found = _own(db, parent, keys)
         names = [f.name for f in parent.features() if f"{via}.{f.name}" in wanted]
         found = found.select(F.col("_key").alias("_k2"), F.col("_at").alias("_a2"), *[F.col(quoted(n)).alias(f"{via}.{n}") for n in names])
@@ -78,8 +83,7 @@ def _reach(db: RelDatabase, node: Node, out: DataFrame) -> DataFrame:
     out = out.drop(*[f"_fk_{c}" for c, _ in node.parents])
     for column, child in node.children:
         label = child.table if sum(n.table == child.table for _, n in node.children) == 1 else f"{child.table}[{column}]"
-        keys = out.select("_key", "_at").distinct()
-        found = _children(db, column, child, keys, label, wanted)
+        found = _children(db, column, child, asked, label, wanted)
         out = out.join(found, (F.col("_key") == F.col("_k2")) & (F.col("_at") == F.col("_a2")), "left").drop("_k2", "_a2")
         count = f"COUNT({label})"
         if count in wanted:
@@ -127,7 +131,9 @@ def features(
     if history is not None and time_col in history.columns:
         db = with_history(db, history, entity, entity_col, time_col)
     root = plan(db, entity, max_depth - 1)
-    keys = anchors.select(F.col(quoted(entity_col)).alias("_key"), F.col(quoted(time_col)).alias("_at")).distinct()
+    # Anchors come from a label query: every branch of the walk reads the cut, not the query.
+    anchors = cut(anchors)
+    keys = cut(anchors.select(F.col(quoted(entity_col)).alias("_key"), F.col(quoted(time_col)).alias("_at")).distinct())
     found = _own(db, root, keys)
     named = found.select(
         F.col("_key").alias("_k"), F.col("_at").alias("_a"), *[F.col(quoted(f.name)).alias(column_name(entity, f)) for f in root.features()]

@@ -56,3 +56,8 @@ def schema_fingerprint(db: RelDatabase) -> str:
 
 def task_fingerprint(task: TaskSpec) -> str:
     return hashlib.blake2s(json.dumps([str(v) for v in vars(task).values()]).encode(), digest_size=8).hexdigest()
+
+
+def content_fingerprint(db: RelDatabase) -> str:
+    """Schema and content of all tables; one pass over each."""
+    return hashlib.blake2s(json.dumps([schema_fingerprint(db), database_checksums(db)], sort_keys=True).encode(), digest_size=8).hexdigest()

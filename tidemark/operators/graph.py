@@ -87,17 +87,27 @@ def two_hop(db: RelDatabase, route: Route) -> DataFrame:
 def neighbours(seeds: DataFrame, graph: DataFrame, fanouts: Sequence[int], seed: int) -> DataFrame:
     """(seed_id, hop, edge_type, src, dst): up to ``fanout`` neighbours a node and edge type, none later than the seed.
 
-    ``seeds`` has seed_id, node_type, node and time; an edge type names its source type before the first dash.
+    ``seeds`` has seed_id, node_type, node and time; an edge type names its source type before the first dash.  What a node
+    shows at a time is drawn once and shared by all seeds that reach it then: a hub's edges are ranked once per time, not
+    once per seed, and a seed only ever sees ``fanout`` of them.
     """
+    return _sampled(seeds, graph, fanouts, seed).drop("time")
+
+
+def _sampled(seeds: DataFrame, graph: DataFrame, fanouts: Sequence[int], seed: int) -> DataFrame:
     frontier = seeds.select("seed_id", "node_type", "node", F.col("time").alias("limit"))
+    typed = graph.withColumn("_type", F.element_at(F.split("edge_type", "-"), 1))
     out = None
     for hop, fanout in enumerate(fanouts, 1):
-        e = graph.withColumn("node_type", F.element_at(F.split("edge_type", "-"), 1))
-        joined = frontier.join(e, (F.col("node") == F.col("src")) & (frontier["node_type"] == e["node_type"])).where("time IS NULL OR time <= limit")
-        key = int60(seed, F.lit(hop), F.col("seed_id"), F.col("edge_type"), F.col("src"), F.col("dst"))
-        order = W.partitionBy("seed_id", "edge_type", "src").orderBy("_key", "dst")
-        taken = joined.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fanout)
-        step = taken.select("seed_id", F.lit(hop).alias("hop"), "edge_type", "src", "dst", "limit")
+        asked = frontier.select("node_type", "node", "limit").distinct()
+        found = asked.join(typed, (F.col("node") == F.col("src")) & (F.col("node_type") == F.col("_type"))).where("time IS NULL OR time <= limit")
+        order = W.partitionBy("limit", "edge_type", "src").orderBy("_key", "dst")
+        drawn = (
+            found.withColumn("_key", int60(seed, F.lit(hop), F.col("edge_type"), F.col("src"), F.col("dst")))
+            .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fanout)
+            .select("node_type", "node", "limit", "edge_type", "src", "dst", "time")
+        )
+        step = frontier.join(drawn, ["node_type", "node", "limit"]).select("seed_id", F.lit(hop).alias("hop"), "edge_type", "src", "dst", "time", "limit")
         out = step.drop("limit") if out is None else out.unionByName(step.drop("limit"))
         frontier = step.select("seed_id", F.element_at(F.split("edge_type", "-"), -1).alias("node_type"), F.col("dst").alias("node"), "limit").distinct()
     return out
@@ -109,7 +119,7 @@ def tokens(seeds: DataFrame, graph: DataFrame, pool: DataFrame, k: int, seed: in
     Position 0 is the seed; then neighbours within two hops no later than the seed, nearer hops first, drawn by key;
     what is left is filled from ``pool`` (pool_id from 0, node_type, node), a row a missing place, as hop 3.
     """
-    sampled = neighbours(seeds, graph, [k, k], seed).join(graph.select("edge_type", "src", "dst", "time").distinct(), ["edge_type", "src", "dst"])
+    sampled = _sampled(seeds, graph, [k, k], seed)
     reached = (
         sampled.select("seed_id", "hop", F.element_at(F.split("edge_type", "-"), -1).alias("node_type"), F.col("dst").alias("node"), "time")
         .groupBy("seed_id", "node_type", "node").agg(F.min("hop").alias("hop"), F.max("time").alias("t"))

@@ -2,39 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import quoted
+from tidemark.operators.numbering import cut
 from tidemark.operators.temporal import anchor_frame
-from tidemark.plans.dialect import add_lateral, to_spark
+from tidemark.plans.dialect import to_spark, with_tables
 from tidemark.sources.schema import RelDatabase, TaskSpec
 
 ANCHORS = "timestamp_df"
 
 
 def run_sql(spark: SparkSession, db: RelDatabase, anchors: DataFrame, sql: str, step) -> DataFrame:
-    """Run label SQL; plans capture the views when they are analysed, so the views go at once."""
+    """Run label SQL over the tables under their names; the session's own views of these names stay as they are.
+
+    Tables are registered under names of their own, and the query sees them through common table expressions.  Plans
+    capture the views when they are analysed, so the views go at once.
+    """
     if ANCHORS in db.tables:
         raise ValueError(f"a table must not be called {ANCHORS}")
-    db.register()
-    anchors.createOrReplaceTempView(ANCHORS)
+    own = f"_tm_{uuid.uuid4().hex}_"
+    frames = {ANCHORS: anchors, **{n: t.df for n, t in db.tables.items()}}
+    for i, df in enumerate(frames.values()):
+        df.createOrReplaceTempView(f"{own}{i}")
     try:
-        text = to_spark(sql, step)
-        try:
-            return spark.sql(text)
-        except (AnalysisException, ParseException):
-            lateral = add_lateral(text)
-            if lateral == text:
-                raise
-            return spark.sql(lateral)
+        return spark.sql(with_tables(to_spark(sql, step), {n: f"{own}{i}" for i, n in enumerate(frames)}))
     finally:
-        for name in (*db.tables, ANCHORS):
-            spark.catalog.dropTempView(name)
+        for i in range(len(frames)):
+            spark.catalog.dropTempView(f"{own}{i}")
 
 
 def make_labels(
@@ -42,7 +42,7 @@ def make_labels(
 ) -> DataFrame:
     """(time, entity, target): exactly three columns, a target of whole numbers for classes, null entities left out.
 
-    ``check`` runs one job that looks for repeated (time, entity) pairs.
+    ``check`` computes the labels once, keeps them as a checkpoint, and looks for repeated (time, entity) pairs there.
     """
     out = run_sql(spark, db, anchor_frame(spark, anchors), task.query, task.timedelta)
     wanted = [task.time_col, task.entity_col, task.target_col]
@@ -55,6 +55,8 @@ def make_labels(
         F.col(quoted(task.entity_col)),
         target.cast(kind).alias(task.target_col),
     ).where(F.col(quoted(task.entity_col)).isNotNull())
+    if check:
+        out = cut(out)
     if check and (twice := out.groupBy(*[quoted(c) for c in wanted[:2]]).count().where("count > 1").head(1)):
         raise ValueError(f"(time, entity) is not unique: {tuple(twice[0])}")
     return out

@@ -2,7 +2,7 @@
 
 Four things differ: time steps are rendered as plain literals, correlated subqueries in FROM need ``LATERAL``, stacked
 ``A JOIN B JOIN C ON x ON y`` needs parentheses, and naive timestamp literals are ``TIMESTAMP_NTZ``.  Anything else is
-left to Spark, whose error is passed on.
+left to Spark, whose error is passed on.  All of it is decided on tokens, not by trying.
 """
 
 from __future__ import annotations
@@ -84,28 +84,65 @@ def _back(tokens: list[str], i: int, n: int) -> list[str]:
 
 
 def add_lateral(sql: str) -> str:
-    """``LATERAL`` before every subquery that follows a comma or JOIN in a FROM list."""
+    """``LATERAL`` where DuckDB has it unsaid: before a subquery that follows a comma in a FROM list, and before a joined one
+    that names an alias of a relation to its left."""
     tokens = _tokens(sql)
     out: list[str] = []
-    in_from = [False]
+    in_from, names = [False], [set()]
     for i, token in enumerate(tokens):
         word = _word(token)
         if word == "(":
             ahead = next((_word(t) for t in tokens[i + 1 :] if not t.isspace()), "")
             back = [_word(t) for t in _back(tokens, i, 1)]
-            if ahead in {"select", "with"} and back and ((back[0] == "," and in_from[-1]) or back[0] == "join"):
-                out.append("LATERAL ")
+            if ahead in {"select", "with"} and back:
+                joined = back[0] == "join" and names[-1] & _qualifiers(tokens, i)
+                if (back[0] == "," and in_from[-1]) or joined:
+                    out.append("LATERAL ")
             in_from.append(False)
+            names.append(set())
         elif word == ")":
             if len(in_from) > 1:
                 in_from.pop()
+                names.pop()
         elif word == "from":
             in_from[-1] = True
         elif word in {"where", "group", "having", "order", "limit", "union", "select", "on"}:
             in_from[-1] = word == "on" and in_from[-1]
+            if word in {"select", "union"}:
+                names[-1] = set()
+        elif in_from[-1] and re.fullmatch(r"[a-z_]\w*", word) and word not in _JOIN_WORDS | {"join", "as", "lateral", "and", "or", "not"}:
+            names[-1].add(word)
         out.append(token)
     return "".join(out)
 
 
+def _qualifiers(tokens: list[str], start: int) -> set[str]:
+    """Words before a dot in the parentheses that open at ``start``, without those named in its own FROM."""
+    depth, found, own = 0, set(), set()
+    for k in range(start, len(tokens)):
+        depth += (tokens[k] == "(") - (tokens[k] == ")")
+        if not depth:
+            break
+        word, after = _word(tokens[k]), tokens[k + 1] if k + 1 < len(tokens) else ""
+        if after == ".":
+            found.add(word)
+        elif re.fullmatch(r"[a-z_]\w*", word) and _back(tokens, k, 1) and _word(_back(tokens, k, 1)[0]) not in {"select", "where", "and", "or", "by", "on", "."}:
+            own.add(word)
+    return found - own
+
+
+def with_tables(sql: str, places: dict[str, str]) -> str:
+    """The query with each table name bound to the view that holds it, by common table expressions in front."""
+    tokens = _tokens(sql)
+    first = next((i for i, t in enumerate(tokens) if not t.isspace() and not t.startswith("--")), 0)
+    bound = ", ".join(f"`{n}` AS (SELECT * FROM `{v}`)" for n, v in places.items())
+    if _word(tokens[first]) != "with":
+        return f"WITH {bound} {sql}"
+    rest = "".join(tokens[first + 1 :]).lstrip()
+    if rest.lower().startswith("recursive"):
+        return f"WITH RECURSIVE {bound}, {rest[9:].lstrip()}"
+    return f"WITH {bound}, {rest}"
+
+
 def to_spark(sql: str, step: timedelta) -> str:
-    return nest_stacked_joins(ntz_literals(render_step(sql, step)))
+    return add_lateral(nest_stacked_joins(ntz_literals(render_step(sql, step))))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 RAISE, FILL, COMPUTE = "raise", "fill", "compute"
@@ -35,9 +36,9 @@ def resolve_cache(root: str | None = None, variable: str = "TIDEMARK_CACHE", pol
     return CacheConfig(None, COMPUTE) if root is None or root.lower() in ("", "0", "off", "none") else CacheConfig(root, policy)
 
 
-def matrix_key(dataset: str, task: str, phase: str, anchors: str, history: str | None, max_depth: int, version: int = 1) -> str:
+def matrix_key(content: str, task: str, anchors: str, history: str | None, max_depth: int, version: int = 2) -> str:
     """Place of a feature matrix: what it is computed from, without the target."""
-    return cache_key(["dfs", f"v{version}", dataset, task, f"phase-{phase}", f"anchor-{anchors}", f"history-{history or 'none'}", f"max-depth-{max_depth}"])
+    return cache_key(["dfs", f"v{version}", content, task, f"anchors-{anchors}", f"history-{history or 'none'}", f"max-depth-{max_depth}"])
 
 
 def _fs(spark: SparkSession, path: str):
@@ -68,12 +69,34 @@ def cached_artifact(
     build().write.parquet(staging)
     fs, path_of = _fs(spark, place)
     fs.mkdirs(path_of(place).getParent())
-    if fs.exists(path_of(place)):
-        fs.delete(path_of(place), True)
-    if not fs.rename(path_of(staging), path_of(place)):
-        raise OSError(f"cannot publish {place}")
+    if exists(spark, place):  # it is there but not valid, or another filler was first
+        if validate is None or validate(spark.read.parquet(place)):
+            fs.delete(path_of(staging), True)
+            return spark.read.parquet(place)
+        _move(spark, place, f"{config.root}/.staging/{uuid.uuid4().hex}")
+    if not _move(spark, staging, place):
+        fs.delete(path_of(staging), True)
+        if not exists(spark, place):
+            raise OSError(f"cannot publish {place}")
     return spark.read.parquet(place)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> bool:
+    """An atomic rename that does not replace: false where the target is there already."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    _, path_of = _fs(spark, source)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path_of(source).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(path_of(source), path_of(target), how)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() in ("FileAlreadyExistsException", "ParentNotDirectoryException", "IOException"):
+            return False
+        raise
+    return True
+
+
 def cached_frame(spark: SparkSession, root: str, segments: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
     return cached_artifact(spark, CacheConfig(root), cache_key(segments), build)

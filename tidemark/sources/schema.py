@@ -79,9 +79,16 @@ class DatabaseSpec:
 
     @classmethod
     def from_yaml(cls, path: str | Path, data_dir: str | Path | None = None) -> DatabaseSpec:
-        """Table paths default to ``<name>.parquet``; relative ones lie in ``data_dir`` or beside the file."""
+        """Table paths default to ``<name>.parquet``; relative ones lie in ``data_dir`` or beside the file.
+
+        A file either has ``name``, ``tables`` and the two cutoffs, or is a mapping of tables alone.
+        """
         path = Path(path)
-        raw = check(yaml.safe_load(path.read_text()), _DATABASE, "database")
+        raw = yaml.safe_load(path.read_text())
+        if isinstance(raw, Mapping) and not isinstance(raw.get("tables"), Mapping):  # tables at the top, named after the folder
+            raw = {"name": path.parent.name or path.stem, "tables": dict(raw)}
+        raw = check(raw, _DATABASE, "database")
+        raw["tables"] = {n: t or {} for n, t in raw["tables"].items()}
         base = Path(data_dir) if data_dir is not None else path.parent
         tables = {}
         for name, t in raw["tables"].items():
@@ -118,20 +125,33 @@ class TaskSpec:
 
 @dataclass(frozen=True)
 class QuerySpec:
-    """A predictive question: a database declaration and a task on it."""
+    """A predictive question: a database declaration, a task on it, and whom to predict when (all, at the test cutoff)."""
 
     database: DatabaseSpec
     task: TaskSpec
+    entities: Any = "all"
+    at: datetime | None = None
 
     @classmethod
     def from_yaml(cls, path: str | Path, data_dir: str | Path | None = None) -> QuerySpec:
-        """The ``database`` entry is resolved relative to the task file."""
+        """The ``database`` entry is resolved relative to the task file.
+
+        A task may name its own ``val_timestamp`` and ``test_timestamp``, and ``entities`` and ``at_timestamp`` for its
+        predictions; ``task_type`` and ``num_eval_timestamps`` are other names of ``kind`` and ``n_eval``.
+        """
         path = Path(path)
         raw = dict(yaml.safe_load(path.read_text()))
         database = raw.pop("database", None)
         if not database:
             raise ValueError("a task file names its database")
-        return cls(DatabaseSpec.from_yaml(path.parent / database, data_dir), TaskSpec.from_dict(raw))
+        spec = DatabaseSpec.from_yaml(path.parent / database, data_dir)
+        given = {k: _time(raw.pop(k)) for k in ("val_timestamp", "test_timestamp") if k in raw}
+        entities, at = raw.pop("entities", "all"), _time(raw.pop("at_timestamp", None))
+        for old, new in (("task_type", "kind"), ("num_eval_timestamps", "n_eval")):
+            if old in raw:
+                raw[new] = raw.pop(old)
+        raw.setdefault("name", path.stem)
+        return cls(replace(spec, **given), TaskSpec.from_dict(raw), entities, at)
 
 
 _DATABASE = {"name": str, "tables": dict, "val_timestamp": object, "test_timestamp": object}

@@ -89,7 +89,7 @@ def metric_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as tasks, return flags as methods: a results frame with known gaps."""
-    items = star(spark, sf_dir, "lineitem", "part")["lineitem"].df.where("l_suppkey < 20")
+    items = star(spark, sf_dir, "lineitem", "part")["lineitem"].df
     return items.groupBy(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("dataset"), F.col("l_suppkey").cast("string").alias("task")).agg(
         F.when(F.min("l_suppkey") % 2 == 0, "roc_auc").otherwise("mae").alias("metric"), (F.count(F.lit(1)) > 3).alias("selected"),
         F.avg("l_discount").alias("test_score"), F.sum("l_tax").alias("fit_time_tuning"), F.avg("l_tax").alias("fit_time_refit"), F.min("l_tax").alias("predict_time_refit"),
@@ -151,15 +151,15 @@ def reference_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long metric rows to val_ and test_ columns."""
-    items = star(spark, sf_dir, "lineitem")["lineitem"].df.select("l_suppkey", "l_returnflag", "l_discount").where("l_returnflag <> 'A'")
+    items = star(spark, sf_dir, "lineitem")["lineitem"].df.select("l_suppkey", "l_returnflag", "l_discount")
     name = F.when(F.col("l_returnflag") == "N", "val_score").otherwise("test_score")
     wide = items.withColumn("_m", name).groupBy("l_suppkey").pivot("_m", ["val_score", "test_score"]).agg(F.avg("l_discount"))
     return tidy(wide)
 
 
 def fingerprint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = star(spark, sf_dir, "nation", "region")["nation"].df
-    return column_checksums(nation, ["n_nationkey"])
+    customers = star(spark, sf_dir, "customer", columns={"customer": ("c_custkey", "c_nationkey", "c_mktsegment")})["customer"].df
+    return column_checksums(customers, ["c_custkey"])
 
 
 def target_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ _HARD = f"""WITH pool AS (SELECT event_id FROM events ORDER BY ts DESC, event_id
 _RESULTS = """results AS (SELECT l_returnflag AS model, l_linestatus AS dataset, l_suppkey::VARCHAR AS task,
     CASE WHEN min(l_suppkey) % 2 = 0 THEN 'roc_auc' ELSE 'mae' END AS metric, count(*) > 3 AS selected, avg(l_discount) AS test_score,
     sum(l_tax) AS fit_time_tuning, avg(l_tax) AS fit_time_refit, min(l_tax) AS predict_time_refit
-  FROM lineitem WHERE l_suppkey < 20 GROUP BY 1, 2, 3),
+  FROM lineitem GROUP BY 1, 2, 3),
   frame AS (SELECT model AS method, dataset || '/' || task AS task, CASE WHEN metric = 'roc_auc' THEN 1 - test_score ELSE test_score END AS metric_error,
     fit_time_tuning + fit_time_refit AS time_train_s, predict_time_refit AS time_infer_s FROM results WHERE selected AND test_score IS NOT NULL),
   dense AS (SELECT * FROM frame WHERE task IN (SELECT task FROM frame GROUP BY task HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM frame)))"""
@@ -250,11 +250,11 @@ ORACLES = {
         {r4("max(loss) FILTER (method = 'R')")} AS "R" FROM losses GROUP BY task""",
     "reference_union": f"""WITH {_RESULTS} SELECT method, task, {r4('metric_error')} AS metric_error, {r4('time_train_s')} AS time_train_s FROM frame WHERE method <> 'R'
         UNION ALL SELECT 'A_ref', task, {r4('metric_error')}, NULL FROM frame WHERE method = 'A'""",
-    "metric_pivot": f"""SELECT l_suppkey, {r4("avg(l_discount) FILTER (l_returnflag = 'N')")} AS val_score, {r4("avg(l_discount) FILTER (l_returnflag = 'R')")} AS test_score
-        FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_suppkey""",
+    "metric_pivot": f"""SELECT l_suppkey, {r4("avg(l_discount) FILTER (l_returnflag = 'N')")} AS val_score, {r4("avg(l_discount) FILTER (l_returnflag <> 'N')")} AS test_score
+        FROM lineitem GROUP BY l_suppkey""",
     "fingerprint_table": "SELECT " + ", ".join(
-        "bit_xor(" + _INT60.format(f"concat_ws('|', '{c}', n_nationkey, {c})") + f") AS {c}" for c in ("n_nationkey", "n_name", "n_regionkey")
-    ) + " FROM nation",
+        "bit_xor(" + _INT60.format(f"concat_ws('|', '{c}', c_custkey, {c})") + f") AS {c}" for c in ("c_custkey", "c_nationkey", "c_mktsegment")
+    ) + " FROM customer",
     "target_moments": f"SELECT o_custkey, {r4('avg(o_totalprice)')} AS mean, {r4('coalesce(nullif(stddev_samp(o_totalprice), 0), 1)')} AS std FROM orders GROUP BY o_custkey",
     "ensemble_link": f"SELECT l_orderkey, {r4('1 / (1 + exp(-avg(l_quantity / 10 - 2.5)))')} AS p FROM lineitem GROUP BY l_orderkey",
 }

@@ -25,7 +25,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _orders(spark, sf_dir)["customer"].df.where("c_custkey % 5 = 0")
+    customers = _orders(spark, sf_dir)["customer"].df
     return customers.select(
         F.col("c_custkey").alias("seed_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node"), F.lit(AT).cast("timestamp_ntz").alias("time")
     )
@@ -82,18 +82,19 @@ _EDGES = """
   UNION ALL SELECT 'customer-f2p_c_nationkey-nation', c_custkey, c_nationkey, NULL FROM customer
   UNION ALL SELECT 'nation-rev_f2p_c_nationkey-customer', c_nationkey, c_custkey, NULL FROM customer"""
 _KEY = "('0x' || substr(md5({}), 1, 15))::BIGINT"
-_HOP = """SELECT *, row_number() OVER (PARTITION BY seed_id, edge_type, src ORDER BY """ + _KEY.format(
-    f"'{SEED}:' || {{hop}} || ':' || seed_id || ':' || edge_type || ':' || src || ':' || dst"
-) + """, dst) AS k FROM {frontier} f JOIN edges e ON e.src = f.node AND split_part(edge_type, '-', 1) = f.node_type
-  WHERE time IS NULL OR time <= TIMESTAMP '1999-06-01'"""
+# A node's neighbours at a time are drawn once, whichever seed asks for them.
+_RANKED = """SELECT *, row_number() OVER (PARTITION BY edge_type, src ORDER BY """ + _KEY.format(
+    f"'{SEED}:' || {{hop}} || ':' || edge_type || ':' || src || ':' || dst"
+) + """, dst) AS k FROM edges WHERE time IS NULL OR time <= TIMESTAMP '1999-06-01'"""
 
 
 def _sample(fan: tuple[int, int]) -> str:
-    return f"""edges AS ({_EDGES}),
-  f0 AS (SELECT c_custkey AS seed_id, 'customer' AS node_type, c_custkey AS node FROM customer WHERE c_custkey % 5 = 0),
-  h1 AS (SELECT seed_id, edge_type, src, dst, time FROM ({_HOP.format(hop=1, frontier="f0")}) WHERE k <= {fan[0]}),
+    hop = "SELECT seed_id, edge_type, src, dst, time FROM {} f JOIN d{} d ON d.src = f.node AND split_part(edge_type, '-', 1) = f.node_type WHERE k <= {}"
+    return f"""edges AS ({_EDGES}), d1 AS ({_RANKED.format(hop=1)}), d2 AS ({_RANKED.format(hop=2)}),
+  f0 AS (SELECT c_custkey AS seed_id, 'customer' AS node_type, c_custkey AS node FROM customer),
+  h1 AS ({hop.format("f0", 1, fan[0])}),
   f1 AS (SELECT DISTINCT seed_id, split_part(edge_type, '-', 3) AS node_type, dst AS node FROM h1),
-  h2 AS (SELECT seed_id, edge_type, src, dst, time FROM ({_HOP.format(hop=2, frontier="f1")}) WHERE k <= {fan[1]})"""
+  h2 AS ({hop.format("f1", 2, fan[1])})"""
 
 
 _TOKENS = f"""{_sample((6, 6))},

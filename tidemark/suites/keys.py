@@ -15,7 +15,7 @@ from tidemark.suites.labels import LABELS, QUARTER, anchors_cte
 
 VAL, TEST = datetime(2000, 10, 1), datetime(2001, 1, 1)
 EARLIEST = datetime(1995, 1, 1)
-CHURN = TaskSpec("churn", "binary_classification", "customer", "c_custkey", "timestamp", "churn", QUARTER, LABELS["label_customer_churn"][3])
+CHURN = TaskSpec("churn", "binary_classification", "customer", "c_custkey", "timestamp", "churn", QUARTER, LABELS["label_customer_decline"][3])
 
 
 def rekey_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,11 +158,12 @@ _TRAIN = temporal.train_anchors(VAL, QUARTER, EARLIEST)
 
 
 def _churn(anchors: list[datetime], source: str = "orders") -> str:
+    spent = "sum(o_totalprice) FILTER (o_orderdate {} timestamp)"
     return f"""WITH {anchors_cte(anchors)}
-      SELECT timestamp, c_custkey, CAST(NOT EXISTS (SELECT 1 FROM {source} WHERE o_custkey = c_custkey AND o_orderdate > timestamp
-               AND o_orderdate <= timestamp + INTERVAL '91 days') AS INTEGER) AS churn
-      FROM timestamp_df, customer WHERE EXISTS (SELECT 1 FROM {source} WHERE o_custkey = c_custkey
-               AND o_orderdate > timestamp - INTERVAL '91 days' AND o_orderdate <= timestamp)"""
+      SELECT timestamp, c_custkey, CAST(coalesce({spent.format(">")}, 0) < 0.5 * {spent.format("<=")} AS INTEGER) AS churn
+      FROM timestamp_df, customer, {source}
+      WHERE c_custkey = o_custkey AND o_orderdate > timestamp - INTERVAL '91 days' AND o_orderdate <= timestamp + INTERVAL '91 days'
+      GROUP BY timestamp, c_custkey HAVING min(o_orderdate) <= timestamp"""
 
 
 _CENSORED = f"(SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '{TEST}') oo"

@@ -21,38 +21,45 @@ THREE_DAYS = timedelta(days=3)
 
 #: name -> (tables, anchors, step, SQL in DuckDB's dialect, SELECT list that fixes types)
 LABELS: dict[str, tuple[tuple[str, ...], list[datetime], timedelta, str]] = {
-    "label_customer_churn": (("customer", "orders"), ORDER_ANCHORS, QUARTER, """
+    "label_customer_decline": (("customer", "orders"), ORDER_ANCHORS, QUARTER, """
         SELECT timestamp, c_custkey,
-               CAST(NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate > timestamp
-                                AND o_orderdate <= timestamp + INTERVAL '{timedelta}') AS INTEGER) AS churn
-        FROM timestamp_df, customer
-        WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate > timestamp - INTERVAL '{timedelta}'
-                      AND o_orderdate <= timestamp)"""),
-    "label_part_churn": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
+               CAST(COALESCE(SUM(CASE WHEN o_orderdate > timestamp THEN o_totalprice END), 0)
+                    < 0.5 * SUM(CASE WHEN o_orderdate <= timestamp THEN o_totalprice END) AS INTEGER) AS churn
+        FROM timestamp_df
+        JOIN orders ON o_orderdate > timestamp - INTERVAL '{timedelta}' AND o_orderdate <= timestamp + INTERVAL '{timedelta}'
+        JOIN customer ON c_custkey = o_custkey
+        GROUP BY timestamp, c_custkey HAVING COUNT(CASE WHEN o_orderdate <= timestamp THEN 1 END) > 0"""),
+    "label_customer_quiet": (("customer", "orders"), ORDER_ANCHORS, QUARTER, """
+        SELECT timestamp, c_custkey,
+               CAST(NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_custkey = c_custkey AND n.o_orderstatus = 'F'
+                                AND n.o_orderdate BETWEEN timestamp + INTERVAL '1 days' AND timestamp + INTERVAL '{timedelta}') AS INTEGER) AS quiet
+        FROM customer, timestamp_df
+        WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = c_custkey AND p.o_totalprice > 150000
+                                        AND p.o_orderdate <= timestamp)"""),
+    "label_part_restocked": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
         SELECT timestamp, p_partkey,
-               CAST(NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate > timestamp
-                                AND l_shipdate <= timestamp + INTERVAL '{timedelta}') AS INTEGER) AS churn
-        FROM timestamp_df, part
-        WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate > timestamp - INTERVAL '{timedelta}'
-                      AND l_shipdate <= timestamp)"""),
+               CAST(EXISTS (SELECT 1 FROM lineitem s WHERE s.l_partkey = p_partkey AND s.l_quantity >= 30
+                            AND s.l_shipdate > timestamp AND s.l_shipdate <= timestamp + INTERVAL '{timedelta}') AS INTEGER) AS restocked
+        FROM part CROSS JOIN timestamp_df
+        WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_partkey = p_partkey AND r.l_returnflag = 'R'
+                                          AND r.l_shipdate > timestamp - INTERVAL '30 days' AND r.l_shipdate <= timestamp)"""),
     "label_part_ltv": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
         SELECT timestamp, p_partkey, COALESCE(SUM(l_extendedprice), 0) AS ltv
         FROM timestamp_df, part, lineitem
         WHERE l_partkey = p_partkey AND l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
         GROUP BY timestamp, p_partkey"""),
-    "label_customer_ltv_lateral": (("customer", "orders", "lineitem"), ORDER_ANCHORS, QUARTER, """
-        SELECT timestamp, c_custkey, ltv
-        FROM timestamp_df, customer,
-             (SELECT COALESCE(SUM(l_extendedprice), 0) AS ltv FROM orders, lineitem
-              WHERE o_custkey = c_custkey AND l_orderkey = o_orderkey AND l_shipdate > timestamp
-                AND l_shipdate <= timestamp + INTERVAL '{timedelta}')
-        WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate > timestamp - INTERVAL '{timedelta}'
-                      AND o_orderdate <= timestamp)"""),
-    "label_part_sales": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
-        SELECT timestamp, p_partkey, sales
-        FROM timestamp_df, part,
-             (SELECT COALESCE(SUM(l_extendedprice), 0) AS sales FROM lineitem
-              WHERE l_partkey = p_partkey AND l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}')"""),
+    "label_customer_peak_lateral": (("customer", "orders", "lineitem"), ORDER_ANCHORS, QUARTER, """
+        SELECT timestamp, c_custkey, peak
+        FROM customer, timestamp_df,
+             (SELECT COALESCE(MAX(l_quantity), 0) AS peak FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+              WHERE o_custkey = c_custkey AND l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}')
+        WHERE c_mktsegment = 'BUILDING'"""),
+    "label_part_discounted_lateral": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
+        SELECT timestamp, p_partkey, n_discounted
+        FROM part, timestamp_df,
+             (SELECT COUNT(*) AS n_discounted FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.05
+              AND l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}')
+        WHERE p_size <= 20"""),
     "label_ctr_ratio_having": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
         SELECT timestamp, l_partkey, SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / COUNT(l_orderkey) AS rate
         FROM timestamp_df LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey)
@@ -78,36 +85,31 @@ LABELS: dict[str, tuple[tuple[str, ...], list[datetime], timedelta, str]] = {
         SELECT timestamp, user_id, CAST(SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) > 2 AS INTEGER) AS ignored
         FROM timestamp_df LEFT JOIN events ON ts > timestamp AND ts <= timestamp + INTERVAL '{timedelta}'
         GROUP BY timestamp, user_id HAVING user_id IS NOT NULL AND NOT (COUNT(*) < 2)"""),
-    "label_event_repeat_window": (("events",), EVENT_ANCHORS, THREE_DAYS, """
-        WITH seen AS (
-          SELECT timestamp, user_id, MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS bought,
-                 MAX(MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)) OVER (
-                   PARTITION BY user_id ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before
-          FROM timestamp_df LEFT JOIN events ON ts > timestamp AND ts <= timestamp + INTERVAL '{timedelta}'
+    "label_event_burst_window": (("events",), EVENT_ANCHORS, THREE_DAYS, """
+        WITH windows AS (
+          SELECT timestamp, user_id, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY user_id ORDER BY timestamp) AS so_far
+          FROM timestamp_df JOIN events ON ts > timestamp AND ts <= timestamp + INTERVAL '{timedelta}'
           GROUP BY timestamp, user_id)
-        SELECT timestamp, user_id, bought AS target FROM seen
-        WHERE before = 1 OR EXISTS (SELECT 1 FROM events e WHERE e.user_id = seen.user_id AND e.event_type = 'click'
-                                    AND e.ts > timestamp - INTERVAL '{timedelta}' - INTERVAL '1 days' AND e.ts <= timestamp)
-              AND (SELECT COUNT(*) FROM events x WHERE x.event_type = 'purchase') > 10"""),
-    "label_failure_in": (("orders", "lineitem"), ORDER_ANCHORS, QUARTER, """
-        SELECT timestamp, l_suppkey, MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failed
-        FROM timestamp_df LEFT JOIN lineitem ON l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
-        WHERE l_suppkey IN (SELECT DISTINCT l2.l_suppkey FROM lineitem l2 WHERE l2.l_shipdate > timestamp - INTERVAL '1 year'
-                            AND l2.l_shipdate <= timestamp)
-        GROUP BY timestamp, l_suppkey"""),
-    "label_position_mean": (("lineitem",), ORDER_ANCHORS, QUARTER, """
-        SELECT timestamp, l_suppkey, mean(l_linenumber) AS place
-        FROM timestamp_df LEFT JOIN lineitem ON l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
-        WHERE l_suppkey IN (SELECT DISTINCT l2.l_suppkey FROM lineitem l2 WHERE l2.l_shipdate > timestamp - INTERVAL '1 year'
-                            AND l2.l_shipdate <= timestamp)
-        GROUP BY timestamp, l_suppkey"""),
-    "label_top_min": (("lineitem",), ORDER_ANCHORS, QUARTER, """
-        SELECT timestamp, l_suppkey, CASE WHEN MIN(l_linenumber) <= 1 THEN 1 ELSE 0 END AS top
-        FROM timestamp_df LEFT JOIN lineitem ON l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
-        WHERE l_suppkey IN (SELECT DISTINCT l2.l_suppkey FROM lineitem l2 WHERE l2.l_shipdate > timestamp - INTERVAL '1 year'
-                            AND l2.l_shipdate <= timestamp)
+        SELECT timestamp, user_id, CAST(2 * n > so_far AS INTEGER) AS burst FROM windows
+        WHERE (n >= 3 OR EXISTS (SELECT 1 FROM events e WHERE e.user_id = windows.user_id AND e.event_type = 'purchase' AND e.ts <= timestamp))
+              AND so_far < (SELECT COUNT(*) FROM events whole)"""),
+    "label_supplier_returns_in": (("supplier", "lineitem"), ORDER_ANCHORS, QUARTER, """
+        SELECT timestamp, s_suppkey, COUNT(l_orderkey) AS n_returned
+        FROM supplier CROSS JOIN timestamp_df
+        LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
+        WHERE s_suppkey IN (SELECT DISTINCT big.l_suppkey FROM lineitem big WHERE big.l_quantity > 40 AND big.l_shipdate <= timestamp)
+        GROUP BY timestamp, s_suppkey"""),
+    "label_supplier_lot_mean": (("supplier", "lineitem"), ORDER_ANCHORS, QUARTER, """
+        SELECT timestamp, l_suppkey, mean(l_quantity) AS lot
+        FROM timestamp_df JOIN lineitem ON l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
+        WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)
         GROUP BY timestamp, l_suppkey"""),
-    "label_theta_votes": (("orders", "lineitem"), ORDER_ANCHORS[::5], QUARTER, """
+    "label_part_small_lot": (("part", "lineitem"), ORDER_ANCHORS, QUARTER, """
+        SELECT timestamp, p_partkey, CASE WHEN MIN(l_quantity) <= 5 THEN 1 ELSE 0 END AS small_lot
+        FROM timestamp_df JOIN lineitem ON l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
+        JOIN part ON p_partkey = l_partkey
+        GROUP BY timestamp, p_partkey"""),
+    "label_theta_votes": (("orders", "lineitem"), ORDER_ANCHORS, QUARTER, """
         SELECT timestamp, o_orderkey, COUNT(DISTINCT l_linenumber) AS votes
         FROM timestamp_df LEFT JOIN orders ON o_orderdate <= timestamp AND o_orderstatus != 'P'
         LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate > timestamp AND l_shipdate <= timestamp + INTERVAL '{timedelta}'
@@ -162,7 +164,10 @@ LABELS: dict[str, tuple[tuple[str, ...], list[datetime], timedelta, str]] = {
 }
 
 #: Target types that both engines are brought to.
-_KINDS = {"n_active": "bigint", "n": "bigint", "votes": "bigint", "failed": "int", "target": "int", "badge": "int", "sales": "double", "ltv": "double"}
+_KINDS = {
+    "n_active": "bigint", "n": "bigint", "votes": "bigint", "churn": "int", "quiet": "int", "restocked": "int", "burst": "int", "badge": "int", "small_lot": "int",
+    "n_returned": "bigint", "n_discounted": "bigint", "ltv": "double", "peak": "double", "lot": "double",
+}
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import uuid
 from datetime import timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.cli import find_tasks
 from tidemark.models import harness
 from tidemark.operators import temporal
-from tidemark.models.warm import cached_features
+from tidemark.models.matrices import cached_features
 from tidemark.query import PredictiveQuery
-from tidemark.sources.cache import CacheConfig, cached_artifact, matrix_key
+from tidemark.sources.cache import CacheConfig, cache_key, cached_artifact
 from tidemark.sources.export import text_store, write_dataset
 from tidemark.sources.schema import DatabaseSpec, QuerySpec, TableSpec, TaskSpec, materialize
 from tidemark.streaming.windows import window_labels
 from tidemark.suites.common import star
 from tidemark.suites.features import tidy
 from tidemark.suites.keys import CHURN, EARLIEST, TEST, VAL, _churn
-from tidemark.suites.labels import LABELS, QUARTER
+from tidemark.suites.labels import QUARTER
 
 SPENDING = TaskSpec("spending", "regression", "customer", "c_custkey", "timestamp", "spent", QUARTER, """
     SELECT timestamp, c_custkey, SUM(o_totalprice) AS spent FROM timestamp_df, customer, orders
@@ -78,15 +80,16 @@ def experiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name, tables, step and anchors of every bundled label task; no data is read."""
-    rows = [(n, ",".join(t), step.days, len(a)) for n, (t, a, step, _) in LABELS.items()]
-    return spark.createDataFrame(rows, "name string, tables string, step_days int, n_anchors int")
+    """Name, kind, entity and step of the task files beside the package; no data is read."""
+    specs = [QuerySpec.from_yaml(p) for p in find_tasks(Path(__file__).resolve().parents[2] / "tasks").values()]
+    rows = [(x.task.name, x.task.kind, x.task.entity_table, x.task.timedelta.days, len(x.database.tables)) for x in specs]
+    return spark.createDataFrame(rows, "name string, kind string, entity string, step_days int, n_tables int")
 
 
 def cached_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Computed once, read back from the store the second time."""
     config = CacheConfig(_shared(spark))
-    key = matrix_key("star", "churn", "test", "a1", None, 2)
+    key = cache_key(["labels", "star", "churn", "test"])
     build = lambda: PredictiveQuery(spark, _spec(sf_dir)).compute_test_labels()
     cached_artifact(spark, config, key, build)
     return cached_artifact(spark, CacheConfig(config.root, "raise"), key, build)
@@ -98,7 +101,7 @@ def warmed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = q.compute_test_labels()
     root = _shared(spark)
     for policy in ("fill", "raise"):
-        out = cached_features(spark, CacheConfig(root, policy), "star", q.db, CHURN, test, "test", max_depth=3, depth=2)
+        out = cached_features(spark, CacheConfig(root, policy), q.db, CHURN, test, max_depth=3, depth=2)
     return tidy(out.select("c_custkey", "timestamp", "`d2__customer.COUNT(orders)`", "`d2__customer.SUM(orders.o_totalprice)`"))
 
 
@@ -114,8 +117,9 @@ def export_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def materialized_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _shared(spark)
-    materialize(star(spark, sf_dir, "nation", "region"), folder)
-    return spark.read.parquet(f"{folder}/nation.parquet")
+    materialize(star(spark, sf_dir, "nation", "customer", columns={"customer": ("c_custkey", "c_nationkey", "c_acctbal")}), folder)
+    nations, customers = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("nation", "customer"))
+    return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_acctbal", "n_name")
 
 
 def text_store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,13 +159,14 @@ ORACLES = {
         g AS (SELECT o_custkey, median(spent) AS m FROM tr GROUP BY 1)
         SELECT c_custkey, TIMESTAMP '{TEST}' AS timestamp, coalesce(m, (SELECT median(spent) FROM tr)) AS spent_pred
         FROM customer LEFT JOIN g ON o_custkey = c_custkey""",
-    "task_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{','.join(t)}', {s.days}, {len(a)})" for n, (t, a, s, _) in LABELS.items()) + ") v(name, tables, step_days, n_anchors)",
+    "task_catalogue": """SELECT * FROM (VALUES ('customer-decline', 'binary_classification', 'customer', 91, 6), ('customer-spending', 'regression', 'customer', 91, 6),
+        ('part-discounts', 'regression', 'part', 91, 6), ('part-returned', 'binary_classification', 'part', 91, 6)) v(name, kind, entity, step_days, n_tables)""",
     "cached_labels": _churn([TEST]),
     "warmed_matrix": f"""WITH s AS ({_churn([TEST])}) SELECT timestamp, c_custkey, count(o_orderkey)::DOUBLE AS "d2__customer_COUNT_orders",
           floor(sum(o_totalprice) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS "d2__customer_SUM_orders_o_totalprice"
         FROM s LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < timestamp GROUP BY ALL""",
     "export_splits": f"SELECT timestamp, c_custkey, 0::INTEGER AS churn FROM ({_churn([TEST])})",
-    "materialized_tables": "SELECT * FROM nation",
+    "materialized_tables": "SELECT c_custkey, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "text_store_keys": "SELECT DISTINCT sha256(p_type) AS key, p_type AS text FROM part WHERE p_type NOT IN (SELECT c_mktsegment FROM customer)",
     "stream_window_labels": """SELECT TIMESTAMP '1970-01-01' + INTERVAL (((epoch_us(ts) - 1) // 259200000000) * 3) DAY AS timestamp, user_id, count(*) AS n,
           floor(sum(value) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS total FROM events GROUP BY 1, 2""",
