@@ -87,11 +87,11 @@ LABELS: dict[str, tuple[tuple[str, ...], list[datetime], timedelta, str]] = {
         GROUP BY timestamp, user_id HAVING user_id IS NOT NULL AND NOT (COUNT(*) < 2)"""),
     "label_event_burst_window": (("events",), EVENT_ANCHORS, THREE_DAYS, """
         WITH windows AS (
-          SELECT timestamp, user_id, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY user_id ORDER BY timestamp) AS so_far
+          SELECT timestamp, user_id, COUNT(*) AS n_in, SUM(COUNT(*)) OVER (PARTITION BY user_id ORDER BY timestamp) AS so_far
           FROM timestamp_df JOIN events ON ts > timestamp AND ts <= timestamp + INTERVAL '{timedelta}'
           GROUP BY timestamp, user_id)
-        SELECT timestamp, user_id, CAST(2 * n > so_far AS INTEGER) AS burst FROM windows
-        WHERE (n >= 3 OR EXISTS (SELECT 1 FROM events e WHERE e.user_id = windows.user_id AND e.event_type = 'purchase' AND e.ts <= timestamp))
+        SELECT timestamp, user_id, CAST(2 * n_in > so_far AS INTEGER) AS burst FROM windows
+        WHERE (n_in >= 3 OR EXISTS (SELECT 1 FROM events e WHERE e.user_id = windows.user_id AND e.event_type = 'purchase' AND e.ts <= timestamp))
               AND so_far < (SELECT COUNT(*) FROM events whole)"""),
     "label_supplier_returns_in": (("supplier", "lineitem"), ORDER_ANCHORS, QUARTER, """
         SELECT timestamp, s_suppkey, COUNT(l_orderkey) AS n_returned
