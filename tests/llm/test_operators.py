@@ -123,6 +123,15 @@ def test__quality__small_table__counts_and_rejects(docs, empty, rows):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test__quality__least_words__short_texts_judged_like_others(spark):
+    long = [(i, " ".join(f"w{(i * 7 + j) % 97}a" for j in range(60)), "en", "s") for i in range(60)]
+    short = [(100, "Thanks for the note", "en", "s"), (101, "Yes", "en", "s"), (102, "", "en", "s"), (103, " \n", "en", "s"), (104, None, "en", "s")]
+    df = spark.createDataFrame(long + short, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in robust_outliers.keep_quality(df, least_rows=20, least_words=1).collect()}
+    assert kept == set(range(60)) | {100, 101}
+    assert {r.doc_id for r in robust_outliers.keep_quality(df, least_rows=20).collect()} == set(range(60))
+
+
 def test__chi_square__known_quantiles__close():
     assert robust_outliers.chi_square(0.975, 8) == pytest.approx(17.53, abs=0.05)
 

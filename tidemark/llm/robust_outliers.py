@@ -335,6 +335,7 @@ def quality(
     least_rows: int = 200,
     tail: float = 1e-7,
     shrink_words: int = 60,
+    least_words: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -342,11 +343,11 @@ def quality(
 ) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, distance (null where none was taken), text_key.
 
-    ``base_failed``: fewer than 20 words, or over 30 % of words in repeated windows.  ``kept`` is false for those and
+    ``base_failed``: fewer than ``least_words`` words, or over 30 % of words in repeated windows.  ``kept`` is false for those and
     for outliers.  Documents of a group, language and corpus with fewer than ``least_rows`` eligible rows are kept, as
     nothing can be estimated.
 
-    Nulls: a null text has no words and fails; null language or source is a value of its own; null ids are passed on.
+    Nulls: a null text has no words and fails if ``least_words`` is positive; null language or source is a value of its own; null ids are passed on.
     Repeated rows count as often as they stand.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -368,7 +369,7 @@ def quality(
     )
     measured = cut(
         rows.mapInArrow(_measure, schema).withColumn(
-            "base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+            "base_failed", F.expr(f"n_words < {least_words} OR 100 * n_repeat_words > 30 * n_words")
         )
     )
     eligible = measured.where("NOT base_failed")

@@ -17,10 +17,11 @@ from tidemark.llm.vector_packing import pack_documents
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers.
 
-    A null or empty text has no words and goes; a null language or source is a value of its own.  Repeated rows (id and
+    Few words alone are no fault here, so the least number of words is one: short texts are judged like others.  A null
+    text, or one without words, goes; a null language or source is a value of its own.  Repeated rows (id and
     text) go or stay together.  No rows give no rows.
     """
-    return keep_quality(docs)
+    return keep_quality(docs, least_words=1)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
