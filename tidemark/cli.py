@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from tidemark.models import harness
-from tidemark.models.base import model_names
+from tidemark.models.base import discover, model_names
 from tidemark.operators import temporal
 from tidemark.query import PredictiveQuery
 from tidemark.sources.cache import CacheConfig
@@ -43,6 +43,7 @@ def run_task(spark: SparkSession, spec: QuerySpec, model: str, n_trials: int, se
 def main(argv: Sequence[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     p.add_argument("--model", action="append", help="model name; may be given again")
+    p.add_argument("--models-from", action="append", default=[], help="package whose modules register models; may be given again")
     p.add_argument("--datasets", nargs="*", help="folders of task files to keep")
     p.add_argument("--tasks", default="tasks", help="folder of task files")
     p.add_argument("--data-dir", help="folder of the tables, instead of beside the database file")
@@ -54,6 +55,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("--list", action="store_true", help="list models and tasks")
     p.add_argument("--output", default="results.csv")
     a = p.parse_args(argv)
+    for package in a.models_from:
+        for module, gone in discover(package).items():
+            print(f"{package}.{module} is left out: it needs {gone}")
     tasks = {k: v for k, v in find_tasks(a.tasks, a.kinds).items() if not a.datasets or k.split("/")[0] in a.datasets}
     if a.list:
         print("\n".join([*[f"model {m}" for m in model_names()], *[f"task {t}" for t in tasks]]))

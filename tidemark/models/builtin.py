@@ -86,9 +86,14 @@ class Boosted(Model):
         self._constant = frame.select(task.target_col).distinct().limit(2).count() < 2
         self._train = train
         if not self._constant:
-            self._model = self._fit_frame(task, cut(frame), numbers, names, seed)
+            frame = cut(frame)
+            self._models = [self._fit_frame(task, one, numbers, names, seed) for one in self._draws(frame)]
         return self
 
+    def _draws(self, frame: DataFrame) -> list[DataFrame]:
+        """The frames that a model each is fitted on; their scores are averaged."""
+        return [frame]
+
     def _prepare(self, task: TaskSpec, db: RelDatabase, train: DataFrame) -> None:
         """What prediction needs of the training labels."""
 
@@ -100,9 +105,11 @@ class Boosted(Model):
             return constant_scores(self._train, rows, task.target_col, task.kind)
         keyed = cut(_numbered(rows, task))
         frame, _, _ = self._features(task, db, keyed)
-        scored = self._model.transform(self._plain(frame))
+        ready = self._plain(frame)
+        ready = cut(ready) if len(self._models) > 1 else ready
         score = vector_to_array("probability")[1] if task.kind == "binary_classification" else F.col("prediction")
-        return keyed.join(scored.select("row_id", score.alias("score")), "row_id", "left").drop("row_id")
+        parts = [m.transform(ready).select("row_id", score.alias("score")) for m in self._models]
+        return keyed.join(parts[0] if len(parts) == 1 else ensemble(parts, ["row_id"]), "row_id", "left").drop("row_id")
 
 
 def _numbered(rows: DataFrame, task: TaskSpec) -> DataFrame:
@@ -130,7 +137,10 @@ class EntityBoosted(Boosted):
 
 @register_model("dfs-gbt", Grid(*({"max_depth": d} for d in (2, 3, 4))))
 class AggregateBoosted(Boosted):
-    """Multi-hop features with label history, calendar and lags; a context strategy bounds the training rows."""
+    """Multi-hop features with label history, calendar and lags; a context strategy bounds the training rows.
+
+    With ``estimators`` above one and a pool, each estimator is fitted on a draw of its own and scores are averaged.
+    """
 
     def _prepare(self, task, db, train):
         self._history = train.select(task.time_col, task.entity_col, task.target_col)
@@ -139,14 +149,24 @@ class AggregateBoosted(Boosted):
         ).fit(db, self._history)
 
     def _context(self, task, train, seed):
-        most = self.config.get("max_rows")
+        most, self._pool = self.config.get("max_rows"), None
         if not most:
             return train
         how = self.config.get("context", "random")
         if how == "random":
             return random_cap(train, "row_id", most, seed, task.target_col if task.kind == "binary_classification" else None)
-        pool = {"hard_pool": hard_pool, "soft_pool": soft_pool}[how](train, task.time_col, "row_id", most, 2 * most, 1, seed)
-        return train if pool is None else train.join(pool.select("row_id"), "row_id", "left_semi")
+        pool = {"hard_pool": hard_pool, "soft_pool": soft_pool}[how](train, task.time_col, "row_id", most, 2 * most, int(self.config.get("estimators", 1)), seed)
+        if pool is None:
+            return train
+        self._pool = cut(pool)
+        return train.join(self._pool.select("row_id"), "row_id", "left_semi")
+
+    def _draws(self, frame):
+        if self._pool is None or int(self.config.get("estimators", 1)) < 2:
+            return [frame]
+        held = F.col("held") if "held" in frame.columns else F.lit(False)
+        drawn = lambda e: frame.join(self._pool.where(F.col("est") == e).select("row_id", F.lit(True).alias("_in")), "row_id", "left")
+        return [drawn(e).where(held | F.col("_in").isNotNull()).drop("_in") for e in range(int(self.config["estimators"]))]
 
     def _features(self, task, db, rows):
         target = rows.select("row_id", F.col(task.target_col).cast("double").alias("_y")) if task.target_col in rows.columns else None

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import quoted
-from tidemark.operators import dfs
+from tidemark.operators import dfs, graph
 from tidemark.operators.fingerprint import content_fingerprint, table_checksum, task_fingerprint
-from tidemark.sources.cache import CacheConfig, cached_artifact, matrix_key
+from tidemark.sources.cache import CacheConfig, cache_key, cached_artifact, matrix_key
 from tidemark.sources.schema import RelDatabase, TaskSpec
 
 
@@ -47,6 +47,26 @@ def cached_features(
     return matrix if depth is None or depth >= max_depth else dfs.at_depth(matrix, names, depth)
 
 
+def cached_tokens(
+    spark: SparkSession, config: CacheConfig, content: str, seeds: DataFrame, edges: DataFrame, pool: DataFrame, k: int, seed: int,
+    only: tuple[int, int] | None = None,
+) -> DataFrame:
+    """(seed_id, tokens) of the seeds with ids ``only`` in [from, to), or of all.
+
+    ``content`` names what edges and pool are made of (``content_fingerprint``).  Rows are kept in the order of their
+    seeds, so a range of ids is read from the files and row groups that hold it.  No cache gives the same rows.
+    """
+    def compute() -> DataFrame:
+        made = graph.packed(graph.tokens(seeds, edges, pool, k, seed))
+        return made.repartitionByRange("seed_id").sortWithinPartitions("seed_id")
+
+    key = ""
+    if config.root is not None and config.policy != "compute":
+        key = cache_key(["tokens", "v1", content, f"seeds-{table_checksum(seeds, ['seed_id'])}", f"k-{k}", f"seed-{seed}"])
+    found = cached_artifact(spark, config, key, compute, hint="warm the cache first")
+    return found if only is None else found.where((F.col("seed_id") >= only[0]) & (F.col("seed_id") < only[1]))
+
+
 def _stored(name: str) -> str:
     """A column name that any Parquet reader takes."""
     if not set(name) & set(" ,;{}()\n\t="):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -167,7 +168,41 @@ def induced_edges(toks: DataFrame, graph: DataFrame) -> DataFrame:
     return a.join(e, ["_ta", "_a"]).join(b, ["seed_id", "_tb", "_b"]).select("seed_id", "from_position", "to_position").distinct()
 
 
+def packed(toks: DataFrame) -> DataFrame:
+    """(seed_id, tokens): a row per seed with its tokens by position, as training reads them."""
+    fields = [c for c in toks.columns if c != "seed_id"]
+    first = ["position", *[c for c in fields if c != "position"]]
+    return toks.groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct(*[quoted(c) for c in first]))).alias("tokens"))
+
+
+def unpacked(sequences: DataFrame) -> DataFrame:
+    """A row per token again."""
+    return sequences.select("seed_id", F.explode("tokens").alias("_t")).select("seed_id", "_t.*")
+
+
+@dataclass(frozen=True)
+class Context:
+    """The shape of a context: cells in all, cells about one entity, neighbours a step, and whether the latest go first."""
+
+    size: int
+    local: int
+    width: int
+    latest: bool
+
+
+# The shapes a context search ranks.
+CONTEXT_SIZES = (128, 256, 512, 1024)
+CONTEXT_WIDTHS = (16, 64, 256)
+
+
+def context_grid(sizes: Sequence[int] = CONTEXT_SIZES, widths: Sequence[int] = CONTEXT_WIDTHS) -> list[Context]:
+    """All shapes whose local part fits the whole.  Those of one build, which differ in size only, stand together, least size first."""
+    builds = product(sizes, widths, (True, False))
+    return [Context(size, local, width, latest) for local, width, latest in builds for size in sizes if size >= local]
+
+
 def check_times(db: RelDatabase, first_year: int = 1900) -> None:
+    """Raise where a time lies before any that graph features are made for (an epoch of zero, a parsing slip)."""
     low, _ = db.time_bounds()
     if low is not None and low.year < first_year:
         raise ValueError(f"times before {first_year}: {low}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import log10
+from math import erf, exp, log10, pi, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -110,6 +110,38 @@ def heatmap(frame: DataFrame, value: str = "loss") -> DataFrame:
     return frame.groupBy("task").pivot("method").agg(F.first(value))
 
 
+def range_quantile(k: int, level: float = 0.95) -> float:
+    """The quantile of the range of ``k`` standard normal values: what a studentised range tends to with many tasks.
+
+    The distribution ``k * int phi(z) * (Phi(z + q) - Phi(z)) ** (k - 1) dz`` by Simpson's rule, inverted by halving.
+    """
+    if k < 2:
+        raise ValueError("a range has two values at least")
+    normal = lambda x: 0.5 * (1.0 + erf(x / sqrt(2.0)))
+    n, low, high = 800, 0.0, 40.0
+    at = [-8.0 + 16.0 * i / n for i in range(n + 1)]
+    weights = [(1 if i in (0, n) else 4 if i % 2 else 2) * 16.0 / n / 3 * exp(-z * z / 2) / sqrt(2 * pi) for i, z in enumerate(at)]
+    for _ in range(60):
+        q = (low + high) / 2
+        below = k * sum(w * (normal(z + q) - normal(z)) ** (k - 1) for w, z in zip(weights, at, strict=True))
+        low, high = (q, high) if below < level else (low, q)
+    return (low + high) / 2
+
+
+def critical_difference(frame: DataFrame, level: float = 0.95) -> DataFrame:
+    """(method, rank, n_tasks, cd, n_alike): the data of a critical-difference diagram over tasks that all methods ran.
+
+    Ranks that differ by ``cd`` or less are not told apart (Nemenyi); ``n_alike`` counts such methods, itself included.
+    One method has no difference.
+    """
+    means = ranked(frame).groupBy("method").agg(F.avg("rank").alias("rank"), F.count(F.lit(1)).alias("n_tasks"))
+    k = frame.select("method").distinct().count()
+    q = range_quantile(k, level) / sqrt(2.0) if k > 1 else None
+    means = means.withColumn("cd", F.lit(q).cast("double") * F.sqrt(F.lit(k * (k + 1)) / (6.0 * F.col("n_tasks"))))
+    alike = F.abs(F.col("a.rank") - F.col("b.rank")) <= F.coalesce("a.cd", F.lit(0.0))
+    return means.alias("a").join(F.broadcast(means.alias("b")), alike).groupBy("a.method", "a.rank", "a.n_tasks", "a.cd").agg(F.count(F.lit(1)).alias("n_alike"))
+
+
 def load_reference(spark: SparkSession, path: str, methods: Sequence[str] | None = None) -> DataFrame:
     """Published results from a CSV with method, dataset, task, metric and value."""
     raw = spark.read.csv(path, header=True, schema="method string, dataset string, task string, metric string, value double")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import sigmoid
+from tidemark.models.builtin import ensemble
 from tidemark.models.constants import constant_scores, entity_scores
 from tidemark.operators import leaderboard as lb
-from tidemark.operators import metrics, sampling
+from tidemark.operators import metrics, sampling, scaling
 from tidemark.operators.fingerprint import column_checksums
 from tidemark.suites.common import star
 from tidemark.suites.features import FEW, _seeds, tidy
@@ -151,10 +153,9 @@ def reference_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long metric rows to val_ and test_ columns."""
-    items = star(spark, sf_dir, "lineitem")["lineitem"].df.select("l_suppkey", "l_returnflag", "l_discount")
-    name = F.when(F.col("l_returnflag") == "N", "val_score").otherwise("test_score")
-    wide = items.withColumn("_m", name).groupBy("l_suppkey").pivot("_m", ["val_score", "test_score"]).agg(F.avg("l_discount"))
-    return tidy(wide)
+    items = star(spark, sf_dir, "lineitem")["lineitem"].df.select("l_suppkey", "l_returnflag", "l_linestatus", "l_discount")
+    long = items.withColumn("split", F.when(F.col("l_returnflag") == "N", "val").otherwise("test"))
+    return tidy(scaling.pivot_metrics(long, ["l_suppkey"], "split", "l_linestatus", "l_discount", ["val", "test"], ["O", "F"]))
 
 
 def fingerprint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,15 +166,20 @@ def fingerprint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation per customer; one or equal values count as deviation 1."""
     orders = star(spark, sf_dir, "orders")["orders"].df
-    sd = F.stddev_samp("o_totalprice")
-    return tidy(orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"), F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0)).alias("std")))
+    return tidy(scaling.moments(orders, "o_totalprice", ["o_custkey"]))
 
 
 def ensemble_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of raw scores per row, then the link."""
+    """Mean over the models' raw scores per row, then the link."""
     items = star(spark, sf_dir, "lineitem")["lineitem"].df
-    raw = items.groupBy("l_orderkey").agg(F.avg(F.col("l_quantity") / 10 - 2.5).alias("raw"))
-    return tidy(raw.select("l_orderkey", (1.0 / (1.0 + F.exp(-F.col("raw")))).alias("p")))
+    raw = items.select("l_orderkey", "l_linestatus", (F.col("l_quantity") / 10 - 2.5).alias("score"))
+    parts = [raw.where(F.col("l_linestatus") == s) for s in ("O", "F")]
+    return tidy(ensemble(parts, ["l_orderkey"]).select("l_orderkey", sigmoid(F.col("score")).alias("p")))
+
+
+def critical_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average ranks with the least difference that counts, and how many methods are not told apart from each."""
+    return tidy(lb.critical_difference(lb.drop_incomplete(lb.error_frame(_results(spark, sf_dir)))))
 
 
 QUERIES = {
@@ -182,7 +188,7 @@ QUERIES = {
         ctx_recency_rank, ctx_hard_pool, ctx_soft_pool, ctx_union_remap, ctx_random, ctx_random_regression, model_constant_global,
         model_constant_entity, model_constant_entity_regression, metric_ranking, metric_threshold, metric_regression, leaderboard_frame,
         leaderboard_dense, rescaled_loss, avg_rank, winrate, winrate_matrix, leaderboard_elo, prediction_join, results_meta, loss_heatmap, reference_union, metric_pivot,
-        fingerprint_table, target_moments, ensemble_link,
+        fingerprint_table, target_moments, ensemble_link, critical_difference,
     )
 }
 
@@ -201,6 +207,7 @@ _RESULTS = """results AS (SELECT l_returnflag AS model, l_linestatus AS dataset,
   dense AS (SELECT * FROM frame WHERE task IN (SELECT task FROM frame GROUP BY task HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM frame)))"""
 _SCALED = """scaled AS (SELECT *, min(metric_error) OVER w AS lo, max(metric_error) OVER w AS hi FROM dense WINDOW w AS (PARTITION BY task)),
   losses AS (SELECT *, CASE WHEN hi > lo THEN (metric_error - lo) / (hi - lo) ELSE 0 END AS loss FROM scaled)"""
+_Q3 = "2.343700586"  # the 95th percentile of the range of three normal values, over the root of two
 _PAIRS = """pairs AS (SELECT x.method AS a, y.method AS b, CASE WHEN x.metric_error < y.metric_error THEN 1.0 WHEN x.metric_error = y.metric_error THEN 0.5 ELSE 0 END AS win
   FROM dense x JOIN dense y USING (task) WHERE x.method <> y.method)"""
 
@@ -250,11 +257,17 @@ ORACLES = {
         {r4("max(loss) FILTER (method = 'R')")} AS "R" FROM losses GROUP BY task""",
     "reference_union": f"""WITH {_RESULTS} SELECT method, task, {r4('metric_error')} AS metric_error, {r4('time_train_s')} AS time_train_s FROM frame WHERE method <> 'R'
         UNION ALL SELECT 'A_ref', task, {r4('metric_error')}, NULL FROM frame WHERE method = 'A'""",
-    "metric_pivot": f"""SELECT l_suppkey, {r4("avg(l_discount) FILTER (l_returnflag = 'N')")} AS val_score, {r4("avg(l_discount) FILTER (l_returnflag <> 'N')")} AS test_score
-        FROM lineitem GROUP BY l_suppkey""",
+    "metric_pivot": "SELECT l_suppkey, " + ", ".join(
+        r4(f"avg(l_discount) FILTER (l_returnflag {sign} 'N' AND l_linestatus = '{s}')") + f' AS "{split}_{s}"' for split, sign in (("val", "="), ("test", "<>")) for s in "OF"
+    ) + " FROM lineitem GROUP BY l_suppkey",
     "fingerprint_table": "SELECT " + ", ".join(
         "bit_xor(" + _INT60.format(f"concat_ws('|', '{c}', c_custkey, {c})") + f") AS {c}" for c in ("c_custkey", "c_nationkey", "c_mktsegment")
     ) + " FROM customer",
     "target_moments": f"SELECT o_custkey, {r4('avg(o_totalprice)')} AS mean, {r4('coalesce(nullif(stddev_samp(o_totalprice), 0), 1)')} AS std FROM orders GROUP BY o_custkey",
+    "critical_difference": f"""WITH {_RESULTS}, n AS (SELECT method, task, metric_error, row_number() OVER (PARTITION BY task ORDER BY metric_error) AS r FROM dense),
+        m AS (SELECT method, task, avg(r) OVER (PARTITION BY task, metric_error) AS r FROM n),
+        k AS (SELECT method, avg(r) AS rank, count(*) AS n_tasks FROM m GROUP BY method),
+        d AS (SELECT *, {_Q3} * sqrt(3 * 4 / (6.0::DOUBLE * n_tasks)) AS cd FROM k)
+        SELECT a.method, {r4('a.rank')} AS rank, a.n_tasks, {r4('a.cd')} AS cd, (SELECT count(*) FROM d b WHERE abs(a.rank - b.rank) <= a.cd) AS n_alike FROM d a""",
     "ensemble_link": f"SELECT l_orderkey, {r4('1 / (1 + exp(-avg(l_quantity / 10 - 2.5)))')} AS p FROM lineitem GROUP BY l_orderkey",
 }

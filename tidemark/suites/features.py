@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import calendar, cyclic, epoch_ns, quoted, sigmoid, temporal_diff
-from tidemark.operators import dfs
+from tidemark.operators import dfs, scaling
 from tidemark.operators.asof import asof_lags, lookup_text
 from tidemark.operators.features import entity_features
 from tidemark.operators.labels import make_labels
@@ -140,13 +140,9 @@ def dfs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scalar_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw scores to probabilities, and a standardised value clamped to its 2nd and 98th percentile."""
     c = star(spark, sf_dir, "customer", columns=COLUMNS)["customer"].df
-    s = c.agg(
-        F.avg("c_acctbal").alias("m"), F.coalesce(F.nullif(F.stddev_samp("c_acctbal"), F.lit(0.0)), F.lit(1.0)).alias("s"),
-        F.percentile("c_acctbal", F.lit(0.02)).alias("lo"), F.percentile("c_acctbal", F.lit(0.98)).alias("hi"),
-    )
-    z = (F.col("c_acctbal") - F.col("m")) / F.col("s")
-    out = c.crossJoin(F.broadcast(s)).select("c_custkey", sigmoid(z).alias("p"), F.greatest(F.least("c_acctbal", "hi"), "lo").alias("clamped"))
-    return tidy(out)
+    z = (F.col("c_acctbal") - F.col("mean")) / F.col("std")
+    out = scaling.clamped(c, "c_acctbal", scaling.percentile_bounds(c, "c_acctbal")).crossJoin(F.broadcast(scaling.moments(c, "c_acctbal")))
+    return tidy(out.select("c_custkey", sigmoid(z).alias("p"), "clamped"))
 
 
 QUERIES = {
