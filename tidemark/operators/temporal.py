@@ -15,8 +15,15 @@ from tidemark.sources.schema import RelDatabase, warn
 
 
 def anchor_frame(spark: SparkSession, anchors: Sequence[datetime]) -> DataFrame:
-    """One ``timestamp`` column; a handful of rows, so joins broadcast it."""
-    return spark.createDataFrame([(a,) for a in anchors], "timestamp timestamp_ntz")
+    """One ``timestamp`` column; a handful of rows, so joins broadcast it.
+
+    The rows stand in the plan as values, so Spark knows how few they are.  Of rows made in Python it knows no size, and an
+    outer join on a range of times then broadcasts the other side, which is the data.
+    """
+    if not anchors:
+        return spark.createDataFrame([], "timestamp timestamp_ntz")
+    rows = ", ".join(f"(TIMESTAMP_NTZ '{a.replace(tzinfo=None)}')" for a in anchors)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS anchors(timestamp)")
 
 
 def train_anchors(val: datetime, step: timedelta, earliest: datetime, least: int = 3) -> list[datetime]:
