@@ -22,7 +22,7 @@ def small_broadcasts(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", ["label_outcome_min", "label_ctr_ratio_having"])
+@pytest.mark.parametrize("name", ["label_outcome_min", "label_ctr_ratio_having", "label_distinct_visits"])
 def test__range_left_join__data_over_the_threshold__broadcasts_the_anchors(name, spark, data, small_broadcasts):
     plan = labels.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in plan
