@@ -92,7 +92,7 @@ def neighbours(seeds: DataFrame, graph: DataFrame, fanouts: Sequence[int], seed:
     shows at a time is drawn once and shared by all seeds that reach it then: a hub's edges are ranked once per time, not
     once per seed, and a seed only ever sees ``fanout`` of them.
     """
-    return _sampled(seeds, graph, fanouts, seed).drop("time")
+    return _sampled(seeds, graph, fanouts, seed).drop("time", "limit")
 
 
 def _sampled(seeds: DataFrame, graph: DataFrame, fanouts: Sequence[int], seed: int) -> DataFrame:
@@ -102,14 +102,14 @@ def _sampled(seeds: DataFrame, graph: DataFrame, fanouts: Sequence[int], seed: i
     for hop, fanout in enumerate(fanouts, 1):
         asked = frontier.select("node_type", "node", "limit").distinct()
         found = asked.join(typed, (F.col("node") == F.col("src")) & (F.col("node_type") == F.col("_type"))).where("time IS NULL OR time <= limit")
-        order = W.partitionBy("limit", "edge_type", "src").orderBy("_key", "dst")
+        order = W.partitionBy("node_type", "node", "limit", "edge_type").orderBy("_key", "dst")  # as the join has placed them
         drawn = (
             found.withColumn("_key", int60(seed, F.lit(hop), F.col("edge_type"), F.col("src"), F.col("dst")))
             .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fanout)
             .select("node_type", "node", "limit", "edge_type", "src", "dst", "time")
         )
         step = frontier.join(drawn, ["node_type", "node", "limit"]).select("seed_id", F.lit(hop).alias("hop"), "edge_type", "src", "dst", "time", "limit")
-        out = step.drop("limit") if out is None else out.unionByName(step.drop("limit"))
+        out = step if out is None else out.unionByName(step)
         frontier = step.select("seed_id", F.element_at(F.split("edge_type", "-"), -1).alias("node_type"), F.col("dst").alias("node"), "limit").distinct()
     return out
 
@@ -120,30 +120,36 @@ def tokens(seeds: DataFrame, graph: DataFrame, pool: DataFrame, k: int, seed: in
     Position 0 is the seed; then neighbours within two hops no later than the seed, nearer hops first, drawn by key;
     what is left is filled from ``pool`` (pool_id from 0, node_type, node), a row a missing place, as hop 3.
     """
-    sampled = _sampled(seeds, graph, [k, k], seed)
+    sampled = _sampled(seeds, graph, [k, k], seed).select(
+        "seed_id", "hop", F.element_at(F.split("edge_type", "-"), -1).alias("node_type"), F.col("dst").alias("node"), "time", "limit"
+    )
+    own = seeds.select("seed_id", F.lit(0).alias("hop"), "node_type", "node", F.lit(None).cast("timestamp_ntz").alias("time"), F.col("time").alias("limit"))
+    # All of a seed stands in one partition from here on, and is read once: its own node at hop 0, its neighbours, its missing places.
     reached = (
-        sampled.select("seed_id", "hop", F.element_at(F.split("edge_type", "-"), -1).alias("node_type"), F.col("dst").alias("node"), "time")
-        .groupBy("seed_id", "node_type", "node").agg(F.min("hop").alias("hop"), F.max("time").alias("t"))
+        own.unionByName(sampled).repartition("seed_id").groupBy("seed_id", "node_type", "node")
+        .agg(F.min("hop").alias("hop"), F.max("time").alias("t"), F.max("limit").alias("limit"))
     )
-    at = seeds.select("seed_id", F.col("node_type").alias("_type"), F.col("node").alias("_node"), F.col("time").alias("limit"))
-    reached = reached.join(at, "seed_id").where("NOT (node_type = _type AND node = _node)")
     order = W.partitionBy("seed_id").orderBy("hop", "_key", "node_type", "node")
-    near = (
+    kept = (
         reached.withColumn("_key", int60(seed, F.col("seed_id"), F.col("node_type"), F.col("node")))
-        .withColumn("position", F.row_number().over(order)).where(F.col("position") < k)
-        .select("seed_id", "position", "node_type", "node", "hop", _days("limit", "t").alias("rel_days"))
+        .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        .withColumn("_to", F.when(F.lead("_n").over(order).isNull(), F.lit(k)).otherwise(F.col("_n")))
     )
-    have = seeds.select("seed_id").join(near.groupBy("seed_id").agg(F.max("position").alias("n")), "seed_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     size = pool.agg(F.max("pool_id").alias("_top")).select((F.col("_top") + 1).alias("_size"))
-    missing = (
-        have.where(F.col("n") < k - 1).crossJoin(F.broadcast(size)).withColumn("position", F.explode(F.sequence(F.col("n") + 1, F.lit(k - 1))))
-        .withColumn("pool_id", F.pmod(int60(seed, "fill", F.col("seed_id"), F.col("position")), F.col("_size")))
+    places = (
+        kept.crossJoin(F.broadcast(size)).withColumn("_at", F.explode(F.sequence("_n", "_to")))
+        .withColumn("position", F.col("_at") - 1).withColumn("_missing", F.col("_at") > F.col("_n"))
+        # Places that are taken get keys below any of the pool's, spread so that they don't meet in one task.
+        .withColumn("_pick", F.when(F.col("_missing"), F.pmod(int60(seed, "fill", F.col("seed_id"), F.col("position")), F.col("_size")))
+                    .otherwise(-1 - F.pmod(F.xxhash64("seed_id", "position"), F.lit(2**40))))
     )
-    filled = missing.join(pool, "pool_id").select(
-        "seed_id", "position", "node_type", "node", F.lit(3).alias("hop"), F.lit(None).cast("double").alias("rel_days")
+    fill = pool.select(F.col("pool_id").alias("_id"), F.col("node_type").alias("_fill_type"), F.col("node").alias("_fill"))
+    filled = places.join(fill, F.col("_missing") & (F.col("_pick") == F.col("_id")), "left").where("NOT _missing OR _id IS NOT NULL")
+    days = F.when(F.col("hop") == 0, F.lit(0.0)).otherwise(_days("limit", "t"))
+    return filled.select(
+        "seed_id", "position", *[F.when(F.col("_missing"), F.col(new)).otherwise(F.col(c)).alias(c) for c, new in (("node_type", "_fill_type"), ("node", "_fill"))],
+        F.when(F.col("_missing"), F.lit(3)).otherwise(F.col("hop")).alias("hop"), F.when(~F.col("_missing"), days).alias("rel_days"),
     )
-    own = seeds.select("seed_id", F.lit(0).alias("position"), "node_type", "node", F.lit(0).alias("hop"), F.lit(0.0).alias("rel_days"))
-    return own.unionByName(near).unionByName(filled)
 
 
 def _days(later: str, earlier: str):
@@ -161,11 +167,21 @@ def global_ids(db: RelDatabase) -> DataFrame:
 
 
 def induced_edges(toks: DataFrame, graph: DataFrame) -> DataFrame:
-    """(seed_id, from_position, to_position): edges between tokens of one sequence."""
-    a = toks.select("seed_id", F.col("position").alias("from_position"), F.col("node_type").alias("_ta"), F.col("node").alias("_a"))
-    b = toks.select("seed_id", F.col("position").alias("to_position"), F.col("node_type").alias("_tb"), F.col("node").alias("_b"))
-    e = graph.select(F.element_at(F.split("edge_type", "-"), 1).alias("_ta"), F.element_at(F.split("edge_type", "-"), -1).alias("_tb"), F.col("src").alias("_a"), F.col("dst").alias("_b")).distinct()
-    return a.join(e, ["_ta", "_a"]).join(b, ["seed_id", "_tb", "_b"]).select("seed_id", "from_position", "to_position").distinct()
+    """(seed_id, from_position, to_position): edges between tokens of one sequence.
+
+    The pairs of a sequence's tokens, of kinds that some edge joins, are looked up by both ends.  A lookup by one end would
+    bring all edges of a hub to each of the seeds that hold it.
+    """
+    ends = {"_ta": F.element_at(F.split("edge_type", "-"), 1), "_tb": F.element_at(F.split("edge_type", "-"), -1)}
+    e = graph.select(*[c.alias(n) for n, c in ends.items()], F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    kinds = graph.select("edge_type").distinct().select(*[c.alias(n) for n, c in ends.items()]).distinct()
+    whole = toks.where("seed_id IS NOT NULL").groupBy("seed_id").agg(F.collect_list(F.struct("position", "node_type", "node")).alias("_all"))
+    pairs = whole.withColumn("_x", F.explode("_all")).withColumn("_y", F.explode("_all")).select(
+        "seed_id", F.col("_x.position").alias("from_position"), F.col("_y.position").alias("to_position"),
+        F.col("_x.node_type").alias("_ta"), F.col("_x.node").alias("_a"), F.col("_y.node_type").alias("_tb"), F.col("_y.node").alias("_b"),
+    )
+    found = pairs.join(F.broadcast(kinds), ["_ta", "_tb"], "left_semi").join(e, ["_ta", "_tb", "_a", "_b"], "left_semi")
+    return found.select("seed_id", "from_position", "to_position").repartition("seed_id").distinct()
 
 
 def packed(toks: DataFrame) -> DataFrame:
