@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.operators.labels import run_sql
 from tidemark.operators.temporal import anchor_frame
+from tidemark.plans.dialect import broadcast_kept
 from tidemark.sources.schema import RelDatabase, RelTable
 from tidemark.suites import labels
 
@@ -45,3 +46,58 @@ def test__anchors__fractions_repeats_and_none__stay(spark):
     assert frame.dtypes == [("timestamp", "timestamp_ntz")]
     assert [r.timestamp for r in frame.collect()] == [at, at, datetime(1, 1, 1)]
     assert anchor_frame(spark, []).collect() == [] and anchor_frame(spark, []).columns == ["timestamp"]
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """Spark then broadcasts by hints alone, or where a join has no other way."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name", ["label_ctr_ratio_having"])
+def test__range_left_join__threshold_off__broadcasts_the_anchors(name, spark, data, no_broadcasts):
+    plan = labels.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in plan
+    assert "BroadcastNestedLoopJoin BuildRight" not in plan
+
+
+def test__range_left_join__data_under_the_threshold__broadcasts_the_anchors(spark):
+    visits = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP_NTZ '2020-01-02 00:00:00') AS v(who, t)")
+    db = RelDatabase({"visits": RelTable(visits, None, {}, "t")})
+    got = run_sql(spark, db, anchor_frame(spark, [T(1), T(6)]), "SELECT timestamp, who FROM timestamp_df LEFT JOIN visits ON t > timestamp", timedelta(days=1))
+    assert "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("joined", [
+    "timestamp_df LEFT JOIN visits ON", "timestamp_df AS a LEFT OUTER JOIN visits v ON", "visits RIGHT JOIN timestamp_df ON",
+    "visits v RIGHT OUTER JOIN Timestamp_DF a ON", "(timestamp_df a LEFT JOIN (visits JOIN (SELECT 1 AS one) ON one = 1) ON"])
+def test__anchors_kept_by_an_outer_join__threshold_off__are_broadcast_and_stay(joined, spark, no_broadcasts):
+    rows = [(i % 2, T(1 + i)) for i in range(4)] + [(None, T(2))]
+    db = RelDatabase({"visits": RelTable(spark.createDataFrame(rows, "who long, t timestamp_ntz"), None, {}, "t")})
+    close = ")" * (joined.count("(") - joined.count(")"))
+    got = run_sql(spark, db, anchor_frame(spark, [T(1), T(6), T(3)]), f"""
+        SELECT timestamp, who, COUNT(t) AS n FROM {joined} t > timestamp AND t <= timestamp + INTERVAL '{{timedelta}}'{close}
+        GROUP BY timestamp, who""", timedelta(days=60))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    anchors_first = "LEFT" in joined
+    assert f"BroadcastNestedLoopJoin {'BuildLeft, LeftOuter' if anchors_first else 'BuildRight, RightOuter'}" in plan
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(T(1), 0, 1), (T(1), 1, 1), (T(1), None, 1), (T(3), 1, 1), (T(6), None, 0)], key=repr)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT a FROM timestamp_df t JOIN x ON a", "SELECT a FROM x LEFT JOIN timestamp_df ON a", "SELECT a FROM timestamp_df t LEFT SEMI JOIN x ON a",
+    "SELECT a FROM timestamp_df CROSS JOIN c LEFT JOIN x ON a", "SELECT 'FROM timestamp_df LEFT JOIN x' -- FROM timestamp_df LEFT JOIN x"])
+def test__broadcast_hint__anchors_not_kept_or_not_alone__none(sql):
+    assert broadcast_kept(sql, "timestamp_df") == sql
+
+
+def test__broadcast_hint__each_select__its_own():
+    sql = "WITH q AS (SELECT 1 FROM timestamp_df t LEFT JOIN x ON a) SELECT (SELECT 2 FROM y) FROM (timestamp_df LEFT JOIN q ON b)"
+    assert broadcast_kept(sql, "timestamp_df") == (
+        "WITH q AS (SELECT /*+ BROADCAST(t) */ 1 FROM timestamp_df t LEFT JOIN x ON a) "
+        "SELECT /*+ BROADCAST(timestamp_df) */ (SELECT 2 FROM y) FROM (timestamp_df LEFT JOIN q ON b)")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import quoted
 from tidemark.operators.numbering import cut
 from tidemark.operators.temporal import anchor_frame
-from tidemark.plans.dialect import to_spark, with_tables
+from tidemark.plans.dialect import broadcast_kept, to_spark, with_tables
 from tidemark.sources.schema import RelDatabase, TaskSpec
 
 ANCHORS = "timestamp_df"
@@ -31,7 +31,7 @@ def run_sql(spark: SparkSession, db: RelDatabase, anchors: DataFrame, sql: str,
     for i, df in enumerate(frames.values()):
         df.createOrReplaceTempView(f"{own}{i}")
     try:
-        return spark.sql(with_tables(to_spark(sql, step), {n: f"{own}{i}" for i, n in enumerate(frames)}))
+        return spark.sql(with_tables(broadcast_kept(to_spark(sql, step), ANCHORS), {n: f"{own}{i}" for i, n in enumerate(frames)}))
     finally:
         for i in range(len(frames)):
             spark.catalog.dropTempView(f"{own}{i}")

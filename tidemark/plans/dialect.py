@@ -1,8 +1,8 @@
 """Label SQL written for DuckDB, made fit for Spark's parser.
 
 Four things differ: time steps are rendered as plain literals, correlated subqueries in FROM need ``LATERAL``, stacked
-``A JOIN B JOIN C ON x ON y`` needs parentheses, and naive timestamp literals are ``TIMESTAMP_NTZ``.  Anything else is
-left to Spark, whose error is passed on.  All of it is decided on tokens, not by trying.
+``A JOIN B JOIN C ON x ON y`` needs parentheses, and naive timestamp literals are ``TIMESTAMP_NTZ``.  Hints say which side
+of an outer join to broadcast.  Anything else is left to Spark, whose error is passed on.  All of it is decided on tokens, not by trying.
 """
 
 from __future__ import annotations
@@ -131,6 +131,36 @@ def _qualifiers(tokens: list[str], start: int) -> set[str]:
     return found - own
 
 
+def broadcast_kept(sql: str, table: str) -> str:
+    """A broadcast hint in each SELECT where ``table``, alone, is the side that an outer join keeps.
+
+    Spark broadcasts the other side of a join on a range, whatever its size, if the kept one is over the threshold or the
+    threshold is off.  Other joins get no hint: they take the smaller side, and a hint would hold them in their written order.
+    """
+    tokens = _tokens(sql)
+    places = [i for i, t in enumerate(tokens) if not t.isspace() and not t.startswith("--")]
+    words = [_word(tokens[i]) for i in places]
+    insert: dict[int, str] = {}
+    selects: list[int | None] = [None]
+    for k, word in enumerate(words):
+        if word == "(":
+            selects.append(selects[-1])
+        elif word == ")" and len(selects) > 1:
+            selects.pop()
+        elif word == "select":
+            selects[-1] = places[k]
+        elif word == table.lower() and selects[-1] is not None:
+            ahead = (words[k + 1 :] + [""])[0]
+            aliased = bool(re.fullmatch(r"[a-z_]\w*", ahead)) and ahead not in _JOIN_WORDS | {"join", "on", "using"}
+            at = k + aliased + (ahead == "as")
+            left = words[k - 1] in {"from", ",", "("} and " ".join(words[at + 1 : at + 3]) in {"left join", "left outer"}
+            right = " ".join(words[:k][-3:]).endswith(("right join", "right outer join"))
+            if left or right:
+                name = tokens[places[at]]
+                insert[selects[-1]] = insert.get(selects[-1], "") + f" /*+ BROADCAST({name}) */"
+    return "".join(t + insert.get(i, "") for i, t in enumerate(tokens))
+
+
 def with_tables(sql: str, places: dict[str, str]) -> str:
     """The query with each table name bound to the view that holds it, by common table expressions in front."""
     tokens = _tokens(sql)
