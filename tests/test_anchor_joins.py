@@ -58,7 +58,7 @@ def no_broadcasts(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", ["label_ctr_ratio_having"])
+@pytest.mark.parametrize("name", ["label_ctr_ratio_having", "label_distinct_visits"])
 def test__range_left_join__threshold_off__broadcasts_the_anchors(name, spark, data, no_broadcasts):
     plan = labels.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in plan
@@ -101,3 +101,15 @@ def test__broadcast_hint__each_select__its_own():
     assert broadcast_kept(sql, "timestamp_df") == (
         "WITH q AS (SELECT /*+ BROADCAST(t) */ 1 FROM timestamp_df t LEFT JOIN x ON a) "
         "SELECT /*+ BROADCAST(timestamp_df) */ (SELECT 2 FROM y) FROM (timestamp_df LEFT JOIN q ON b)")
+
+
+def test__distinct_count_over_kept_anchors__threshold_off__counts_once_and_keeps_anchors(spark, no_broadcasts):
+    orders = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "o_orderkey long, o_custkey long")
+    items = spark.createDataFrame(
+        [(1, 5, T(1, 2)), (1, 5, T(1, 3)), (1, 6, T(1, 4)), (2, 9, T(1, 5)), (3, 5, T(1, 6)), (3, None, T(1, 7)), (4, 1, T(1, 8)), (2, 3, T(5))],
+        "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz")
+    db = RelDatabase({"orders": RelTable(orders, None, {}, None), "lineitem": RelTable(items, None, {}, "l_shipdate")})
+    got = run_sql(spark, db, anchor_frame(spark, [T(1), T(9)]), labels.LABELS["label_distinct_visits"][3], timedelta(days=91))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in plan and "BroadcastNestedLoopJoin BuildRight" not in plan
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(T(1), 7, True), (T(1), 8, False), (T(9), None, False)], key=repr)
