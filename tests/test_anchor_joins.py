@@ -4,9 +4,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators.labels import run_sql
+from tidemark.operators.labels import run_sql, too_large
 from tidemark.operators.temporal import anchor_frame
-from tidemark.plans.dialect import broadcast_kept
+from tidemark.plans.dialect import broadcast_kept, merge_joined
 from tidemark.sources.schema import RelDatabase, RelTable
 from tidemark.suites import labels
 
@@ -113,3 +113,50 @@ def test__distinct_count_over_kept_anchors__threshold_off__counts_once_and_keeps
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in plan and "BroadcastNestedLoopJoin BuildRight" not in plan
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(T(1), 7, True), (T(1), 8, False), (T(9), None, False)], key=repr)
+
+
+@pytest.fixture
+def large_broadcasts(spark):
+    """Spark then broadcasts tables whose hash tables the driver may have no room for."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    yield
+    spark.conf.set(key, before)
+
+
+def visits_of(spark, n_orders):
+    orders = spark.range(n_orders).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus")
+    items = spark.range(20_000_000).selectExpr("id % 5 AS l_orderkey", "id AS l_suppkey", "TIMESTAMP_NTZ '2020-01-02 00:00:00' AS l_shipdate")
+    return RelDatabase({"orders": RelTable(orders, None, {}, None), "lineitem": RelTable(items, None, {}, "l_shipdate")})
+
+
+@pytest.mark.parametrize("n_orders, join", [(3_000_000, "SortMergeJoin [o_orderkey"), (1000, "BroadcastHashJoin [o_orderkey")])
+def test__orders_under_a_high_threshold__broadcast_up_to_the_default_only(n_orders, join, spark, large_broadcasts):
+    got = run_sql(spark, visits_of(spark, n_orders), anchor_frame(spark, [T(1)]), labels.LABELS["label_distinct_visits"][3], timedelta(days=91))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and "BroadcastNestedLoopJoin BuildLeft, LeftOuter" in plan
+
+
+def test__tables_too_large__named_columns_and_threshold__decide(spark, large_broadcasts):
+    db, sql = visits_of(spark, 3_000_000), labels.LABELS["label_distinct_visits"][3]
+    assert too_large(spark, db, sql) == ["orders"]
+    assert too_large(spark, db, "SELECT 1 FROM lineitem") == []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    assert too_large(spark, db, sql) == []
+
+
+@pytest.mark.parametrize("name", [n for n in labels.LABELS])
+def test__label_sql__merge_hints_on_all_tables__same_rows(name, spark, data, monkeypatch):
+    plain = labels.QUERIES[name](spark, data)
+    monkeypatch.setattr("tidemark.operators.labels.too_large", lambda _, db, __: list(db.tables))
+    hinted = labels.QUERIES[name](spark, data)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, hinted.collect()))
+
+
+def test__merge_hint__each_select__its_tables_by_alias():
+    sql = "SELECT a, orders.b FROM c JOIN (Orders JOIN lineitem l ON x) ON y WHERE EXISTS (SELECT 1 FROM orders AS n, orders m WHERE z)"
+    assert merge_joined(sql, ["orders", "lineitem"]) == (
+        "SELECT /*+ MERGE(Orders) */ /*+ MERGE(l) */ a, orders.b FROM c JOIN (Orders JOIN lineitem l ON x) ON y "
+        "WHERE EXISTS (SELECT /*+ MERGE(n) */ /*+ MERGE(m) */ 1 FROM orders AS n, orders m WHERE z)")
+    assert merge_joined(sql, []) == sql

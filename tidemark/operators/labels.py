@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
@@ -12,11 +13,31 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import quoted
 from tidemark.operators.numbering import cut
 from tidemark.operators.temporal import anchor_frame
-from tidemark.plans.dialect import broadcast_kept, to_spark, with_tables
+from tidemark.plans.dialect import broadcast_kept, merge_joined, to_spark, with_tables
 from tidemark.sources.schema import RelDatabase, TaskSpec
 
 ANCHORS = "timestamp_df"
 
+#: Spark's own default threshold.  Bytes of files are held against it; as rows of a hash table, which the driver builds, columns
+#: of keys take several times as much.
+BROADCAST_MOST = 10 << 20
+
+
+def too_large(spark: SparkSession, db: RelDatabase, sql: str) -> list[str]:
+    """Tables over ``BROADCAST_MOST`` that Spark would broadcast at a higher threshold, by the columns that the query names."""
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if threshold <= BROADCAST_MOST:
+        return []
+    words = set(re.findall(r"\w+", sql.lower()))
+    out = []
+    for name, t in db.tables.items():
+        if name.lower() not in words:
+            continue
+        named = t.df.select(*[quoted(c) for c in t.df.columns if c.lower() in words])
+        if BROADCAST_MOST < named._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= threshold:
+            out.append(name)
+    return out
+
 
 def run_sql(spark: SparkSession, db: RelDatabase, anchors: DataFrame, sql: str, step) -> DataFrame:
     """Run label SQL over the tables under their names; the session's own views of these names stay as they are.
@@ -31,7 +52,8 @@ def run_sql(spark: SparkSession, db: RelDatabase, anchors: DataFrame, sql: str,
     for i, df in enumerate(frames.values()):
         df.createOrReplaceTempView(f"{own}{i}")
     try:
-        return spark.sql(with_tables(broadcast_kept(to_spark(sql, step), ANCHORS), {n: f"{own}{i}" for i, n in enumerate(frames)}))
+        hinted = merge_joined(broadcast_kept(to_spark(sql, step), ANCHORS), too_large(spark, db, sql))
+        return spark.sql(with_tables(hinted, {n: f"{own}{i}" for i, n in enumerate(frames)}))
     finally:
         for i in range(len(frames)):
             spark.catalog.dropTempView(f"{own}{i}")

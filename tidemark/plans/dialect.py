@@ -2,18 +2,20 @@
 
 Four things differ: time steps are rendered as plain literals, correlated subqueries in FROM need ``LATERAL``, stacked
 ``A JOIN B JOIN C ON x ON y`` needs parentheses, and naive timestamp literals are ``TIMESTAMP_NTZ``.  Hints say which side
-of an outer join to broadcast.  Anything else is left to Spark, whose error is passed on.  All of it is decided on tokens, not by trying.
+of an outer join to broadcast, and which tables not to.  Anything else is left to Spark, whose error is passed on.  All of it is decided on tokens, not by trying.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Collection
 from datetime import timedelta
 
 from tidemark.functions.columns import interval_text
 
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|\w+|\s+|.", re.S)
 _JOIN_WORDS = {"left", "right", "full", "inner", "outer", "cross", "semi", "anti"}
+_AFTER_TABLE = {"join", "on", "using", "where", "group", "having", "order", "limit", "window", "union", "except", "intersect", "lateral", "natural"}
 
 
 def _tokens(sql: str) -> list[str]:
@@ -137,10 +139,26 @@ def broadcast_kept(sql: str, table: str) -> str:
     Spark broadcasts the other side of a join on a range, whatever its size, if the kept one is over the threshold or the
     threshold is off.  Other joins get no hint: they take the smaller side, and a hint would hold them in their written order.
     """
+
+    def kept(before: list[str], behind: list[str]) -> bool:
+        left = before[-1] in {"from", ",", "("} and " ".join(behind[:2]) in {"left join", "left outer"}
+        return left or " ".join(before[-3:]).endswith(("right join", "right outer join"))
+
+    return _hinted(sql, "BROADCAST", [table], kept)
+
+
+def merge_joined(sql: str, tables: Collection[str]) -> str:
+    """A merge hint in each SELECT for those of ``tables`` that it reads, so that Spark does not broadcast them for an equality."""
+    return _hinted(sql, "MERGE", tables, lambda before, behind: before[-1] in {"from", "join", ",", "("} and behind[:1] != ["."])
+
+
+def _hinted(sql: str, hint: str, tables: Collection[str], fits: Callable[[list[str], list[str]], bool]) -> str:
+    """``hint`` in each SELECT for ``tables``, by their aliases, where the words before a table and behind its alias fit."""
     tokens = _tokens(sql)
     places = [i for i, t in enumerate(tokens) if not t.isspace() and not t.startswith("--")]
     words = [_word(tokens[i]) for i in places]
-    insert: dict[int, str] = {}
+    wanted = {t.lower() for t in tables}
+    insert: dict[int, dict[str, None]] = {}
     selects: list[int | None] = [None]
     for k, word in enumerate(words):
         if word == "(":
@@ -149,16 +167,13 @@ def broadcast_kept(sql: str, table: str) -> str:
             selects.pop()
         elif word == "select":
             selects[-1] = places[k]
-        elif word == table.lower() and selects[-1] is not None:
+        elif word in wanted and selects[-1] is not None:
             ahead = (words[k + 1 :] + [""])[0]
-            aliased = bool(re.fullmatch(r"[a-z_]\w*", ahead)) and ahead not in _JOIN_WORDS | {"join", "on", "using"}
+            aliased = bool(re.fullmatch(r"[a-z_]\w*", ahead)) and ahead not in _JOIN_WORDS | _AFTER_TABLE
             at = k + aliased + (ahead == "as")
-            left = words[k - 1] in {"from", ",", "("} and " ".join(words[at + 1 : at + 3]) in {"left join", "left outer"}
-            right = " ".join(words[:k][-3:]).endswith(("right join", "right outer join"))
-            if left or right:
-                name = tokens[places[at]]
-                insert[selects[-1]] = insert.get(selects[-1], "") + f" /*+ BROADCAST({name}) */"
-    return "".join(t + insert.get(i, "") for i, t in enumerate(tokens))
+            if fits(words[:k], words[at + 1 :]):
+                insert.setdefault(selects[-1], {})[tokens[places[at]]] = None
+    return "".join(t + "".join(f" /*+ {hint}({n}) */" for n in insert.get(i, ())) for i, t in enumerate(tokens))
 
 
 def with_tables(sql: str, places: dict[str, str]) -> str:
